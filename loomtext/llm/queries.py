@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import bpe, langid
+from loomtext.llm import bpe, langid, suffixes
 from loomtext.llm.tables import table
 
 
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -20,8 +24,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_repeats": op1_suffix_repeats,
     "op7_bpe": op7_bpe,
     "op10_language": op10_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_suffix_repeats": r"""
+        WITH w AS (
+          SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), win AS (
+          SELECT doc_id, p, array_to_string(ws[p + 1 : p + 50], ' ') AS s
+          FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS p FROM w)
+        ), rep AS (
+          SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) = 1 AS lead
+          FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING min(doc_id) < max(doc_id))
+        ), marked AS (
+          SELECT *, CASE WHEN p > lag(p) OVER d + 50 OR lag(p) OVER d IS NULL THEN 1 ELSE 0 END AS new FROM rep WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+        ), island AS (
+          SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked
+        )
+        SELECT doc_id, min(p) AS word_start, max(p) + 50 AS word_end, count(*) AS windows, count(*) FILTER (lead) AS first_windows
+        FROM island GROUP BY doc_id, g
+    """,
+}
