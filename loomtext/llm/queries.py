@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import bpe, langid, suffixes
+from loomtext.llm import bpe, langid, neardup, suffixes
 from loomtext.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
+    "op3_minhash_groups": op3_minhash_groups,
     "op7_bpe": op7_bpe,
     "op10_language": op10_language,
 }
