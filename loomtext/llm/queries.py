@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import bpe, langid, neardup, suffixes, toxicity
+from loomtext.llm import bpe, langid, neardup, suffixes, topk, toxicity
 from loomtext.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
+    "op2_topk": op2_topk,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_toxicity": op4_toxicity,
     "op7_bpe": op7_bpe,
@@ -58,4 +63,15 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(p) AS word_start, max(p) + 50 AS word_end, count(*) AS windows, count(*) FILTER (lead) AS first_windows
         FROM island GROUP BY doc_id, g
     """,
+    "op2_topk": r"""
+        WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        f AS (SELECT doc_id, w, count(*) AS f FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w FROM d) GROUP BY ALL),
+        df AS (SELECT w, count(*) AS df FROM f GROUP BY w),
+        q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w FROM benchmark),
+        s AS (
+          SELECT query_id, doc_id, sum(CAST(floor(1000.0::DOUBLE * ln(1.0::DOUBLE + (SELECT count(*) FROM d)::DOUBLE / df::DOUBLE) * f::DOUBLE * 2.2::DOUBLE / (f::DOUBLE + 1.2::DOUBLE)) AS BIGINT))::BIGINT AS score
+          FROM q JOIN f USING (w) JOIN df USING (w) GROUP BY ALL
+        )
+        SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+    """,
 }
