@@ -70,7 +70,7 @@ def shape_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         digit == 0, (digit > 0) & (digit < 3), digit == 3, (digit > 3) & (digit < 8), (digit > 7) & (digit < 13), (digit > 12) & (digit < 20), digit > 19,
         (lower == 0) & (upper == 0), lower > 0, upper > 0, (digit > 0) & (lower > 0), (digit > 0) & (upper > 0) & (lower == 0), (hexa == lower) & (lower > 0) & (digit > 3),
         size < 4, (size > 3) & (size < 12), (size > 11) & (size < 18), (size > 17) & (size < 26), size > 25,
-        (first >= 48) & (first < 58), first == 40, first == 43, (equal > 0) & (digit > 2) & (lower > 0),
+        (first >= 48) & (first < 58), first == 40, first == 43, (equal > 0) & (digit > 2) & (lower > 0), (upper > 0) & (lower == 0),
     ]
     code = np.zeros(len(starts), np.int64)
     for i, b in enumerate(bits):
@@ -78,7 +78,7 @@ def shape_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return code
 
 
-BITS = 38
+BITS = 39
 
 
 def unpack(codes: np.ndarray) -> np.ndarray:
@@ -99,8 +99,8 @@ def labelled_table(rows: int = 700, seed: int = 6) -> list[tuple[list[str], list
     end = lambda: pick(["", "", "", "", ".", ",", "!", ";", ":", "?"])
 
     def plain() -> list[tuple[str, str]]:
-        w = chars(pick(letters), 1, 14)
-        r = rng.random()
+        w = chars(pick(letters), 1, 14) if rng.random() < 0.93 else chars(pick(letters), 12, 26)
+        r = rng.random() * (1 if len(w) < 12 else 0.6)
         w = w.capitalize() if r < 0.15 else w.upper() if r < 0.25 else w
         tail = pick(["***", "&&&", "%%%", "$$$", "###", "!!", "...", ")", '"']) if rng.random() < 0.12 else end()
         return [(w + tail, "O")]
