@@ -275,21 +275,23 @@ _TRAIL[[ord(c) for c in ".,;:!?\"'"]] = True
 
 
 def spans(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: rows, and (text, first character, last + 1, label) of its spans."""
+    """For each slice that has any: rows, and (text, first character, last + 1, label) of its spans."""
     for i, j, buf, off in W.text_slices(texts):
         starts, ends, ptr = W.find_words(buf, off)
         doc = np.repeat(np.arange(j - i), np.diff(ptr))
         label = viterbi(model.emissions(shape_codes(buf, starts, ends), doc), doc, model.step) if len(starts) else np.zeros(0, np.int64)
         hit = np.flatnonzero(label)
+        if not len(hit):
+            continue
         new = np.ones(len(hit), bool)
         new[1:] = (hit[1:] != hit[:-1] + 1) | (doc[hit[1:]] != doc[hit[:-1]]) | (label[hit[1:]] != label[hit[:-1]])
         a = np.flatnonzero(new)
         z = np.append(a[1:], len(hit)) - 1
         lo, hi = starts[hit[a]].copy(), ends[hit[z]].copy()
         for _ in range(4):
-            trail = (hi - 1 > lo) & _TRAIL[buf[hi - 1]] if len(hi) else np.zeros(0, bool)
+            trail = (hi - 1 > lo) & _TRAIL[buf[hi - 1]]
             hi[trail] -= 1
-        lead = (lo + 1 < hi) & (buf[np.minimum(lo, max(len(buf) - 1, 0))] == 34) if len(lo) else np.zeros(0, bool)
+        lead = (lo + 1 < hi) & (buf[lo] == 34)
         lo[lead] += 1
         chars = np.zeros(len(buf) + 1, np.int64)
         np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
