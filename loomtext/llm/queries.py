@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, langid, neardup, pii, suffixes, topk, toxicity
+from loomtext.llm import bpe, langid, mixing, neardup, pii, suffixes, topk, toxicity
 from loomtext.llm.tables import table
 
 
@@ -35,6 +36,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", F.round("position", 9).alias("position"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -47,10 +52,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op9_mixing": op9_mixing,
     "op10_language": op10_language,
 }
 
+#: Positions as in loomtext.llm.mixing, over a relation `docs`.
+MIXING_SQL = r"""
+    tok AS (
+      SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')) AS tokens, substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS h FROM docs WHERE doc_id IS NOT NULL
+    ), per AS (
+      SELECT source, sum(tokens)::BIGINT AS supply FROM tok GROUP BY source HAVING sum(tokens) > 0
+    ), sh AS (
+      SELECT source, supply, supply::DOUBLE / (SELECT sum(supply) FROM per)::DOUBLE AS share, (SELECT count(*) FROM per)::DOUBLE AS sources FROM per
+    ), bud AS (
+      SELECT *, supply::DOUBLE / (share + 0.2::DOUBLE * (1.0::DOUBLE / sources - share) / 2.0::DOUBLE) AS lim FROM sh
+    ), cum AS (
+      SELECT t.*, share, sources, (SELECT min(lim) FROM bud) AS budget,
+        coalesce(sum(tokens) OVER (PARTITION BY t.source ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+      FROM tok t JOIN bud ON t.source IS NOT DISTINCT FROM bud.source
+    ), mid AS (
+      SELECT *, (ahead::DOUBLE + tokens::DOUBLE / 2.0::DOUBLE) / budget AS middle, 0.2::DOUBLE * (1.0::DOUBLE / sources - share) AS lift
+      FROM cum WHERE (ahead + tokens)::DOUBLE / budget <= (share + 0.2::DOUBLE * (1.0::DOUBLE / sources - share) / 2.0::DOUBLE) * (1.0::DOUBLE + 1e-9::DOUBLE)
+    ), mixed AS (
+      SELECT *, 2.0::DOUBLE * middle / ((share + lift) + sqrt(greatest((share + lift) * (share + lift) - 2.0::DOUBLE * lift * middle, 0.0::DOUBLE))) AS position FROM mid
+    )"""
+
 ORACLE: dict[str, str] = {
+    "op9_mixing": "WITH docs AS (SELECT * FROM documents), " + MIXING_SQL + " SELECT doc_id, text, lang, source, n_chars, round(position, 9) AS position FROM mixed",
     "op1_suffix_repeats": r"""
         WITH w AS (
           SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
