@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, langid, mixing, neardup, pii, suffixes, topk, toxicity
+from loomtext.llm import bpe, flac, langid, mixing, neardup, pii, suffixes, topk, toxicity, warc
 from loomtext.llm.tables import table
 
 
@@ -28,6 +28,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables hold no sound; each embedding is rendered as a clip, encoded, and decoded again."""
+    return flac.decode(flac.clips(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables hold no archives; the pages are written as WARC files, and these are read."""
+    found = warc.read(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    html = F.when(~F.col("is_null"), F.decode("content", "UTF-8"))
+    return found.select("page_id", F.col("target_uri").alias("url"), html.alias("html"), "type", "content_length", "digest_ok", "error")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", F.round("position", 9).alias("position"))
 
@@ -50,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_toxicity": op4_toxicity,
+    "op5_flac": op5_flac,
     "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
 }
@@ -78,6 +92,7 @@ MIXING_SQL = r"""
     )"""
 
 ORACLE: dict[str, str] = {
+    "op8_warc": "SELECT page_id, url, html, 'resource' AS type, strlen(html)::BIGINT AS content_length, true AS digest_ok, CAST(NULL AS VARCHAR) AS error FROM pages",
     "op9_mixing": "WITH docs AS (SELECT * FROM documents), " + MIXING_SQL + " SELECT doc_id, text, lang, source, n_chars, round(position, 9) AS position FROM mixed",
     "op1_suffix_repeats": r"""
         WITH w AS (
