@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
+from loomtext.llm.tables import small_batches
 
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = "doc_id bigint, n_tokens int, token_ids array<int>, char_starts array<int>, round_trip boolean"
@@ -265,12 +266,12 @@ def encode(docs: DataFrame, path: str = DEFAULT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for part in W.slices(W.buffers(b.column(1))[1], 8 << 20):
+            for part in W.slices(W.buffers(b.column(1))[1], 2 << 20):
                 rows = b.slice(part[0], part[1] - part[0])
                 got = c.encode_column(rows.column(1))
                 yield pa.RecordBatch.from_arrays([rows.column(0), *got.columns], ["doc_id", *got.schema.names])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def decode(tokens: DataFrame, path: str = DEFAULT) -> DataFrame:
@@ -281,4 +282,4 @@ def decode(tokens: DataFrame, path: str = DEFAULT) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), c.decode_column(b.column(1))], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "token_ids").mapInArrow(run, "doc_id bigint, text string")
+    return small_batches(tokens).select(F.col("doc_id").cast("bigint").alias("doc_id"), "token_ids").mapInArrow(run, "doc_id bigint, text string")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
+from loomtext.llm.tables import small_batches
 
 SCHEMA = "doc_id bigint, language string, score double, margin double, n_grams bigint"
 
@@ -84,7 +85,7 @@ def build(languages: list[str], gram: np.ndarray, lang: np.ndarray, p: Params) -
 def train(docs: DataFrame, params: Params = Params()) -> Filters:
     """Fits the filters on a bounded sample of the rows of `docs` (doc_id, text, lang) that have a language."""
     p = params
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
+    known = small_batches(docs).filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
     total = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(total)
     if not languages:
@@ -156,4 +157,4 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
             names, score, margin, total = score_batch(f, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(margin), pa.array(total)], ["doc_id", "language", "score", "margin", "n_grams"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, SCHEMA)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
-from loomtext.llm.tables import materialized
+from loomtext.llm.tables import materialized, small_batches
 
 FLATTEN = 0.2
 BUCKET_ROWS = 20_000  #: documents aimed at for a bucket of a window
@@ -58,7 +58,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 n[i:j] = np.diff(ptr)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], ["doc_id", "source", "tokens"])
 
-    slim = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    slim = small_batches(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     return slim.mapInArrow(run, "doc_id bigint, source string, tokens bigint").withColumn("h", F.expr(f"cast(conv({_ID_HASH}, 16, 10) AS bigint)"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import words as W
 from loomtext.llm.graph import components
 from loomtext.llm.suffixes import gram_hashes
-from loomtext.llm.tables import materialized
+from loomtext.llm.tables import materialized, small_batches
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, group_id, keep) of all documents in groups of two or more: see the module."""
     p = params
-    slim = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
+    slim = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
     w = Window.partitionBy("h")
     members = buckets(slim, p).select("h", "doc_id", F.min("doc_id").over(w).alias("least"), F.max("doc_id").over(w).alias("most")).filter("least < most").select("h", "doc_id", "least")
     members = materialized(members, "buckets")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
+from loomtext.llm.tables import small_batches
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 SCHEMA = "doc_id bigint, char_start bigint, char_end bigint, kind string"
@@ -302,7 +303,7 @@ def spans(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray,
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All spans of `docs` (doc_id, text): see SCHEMA."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(LABELS)
@@ -315,7 +316,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """`docs` with the spans in its column text replaced; n_chars, where there is such a column, follows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model or default_model())
 
     @F.pandas_udf("string")
     def clean(text):  # noqa: ANN001, ANN202

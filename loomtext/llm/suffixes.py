@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
-from loomtext.llm.tables import materialized
+from loomtext.llm.tables import materialized, small_batches
 
 LENGTH = 50
 CHUNKS = 3
@@ -346,7 +346,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < 2 * 8 * CHUNKS // 4:
         raise ValueError("a passage has 12 words or more")  # its text fills the chunks
     spark = docs.sparkSession
-    slim = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slim = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = materialized(candidates(slim, length), "suffix-candidates")
     total = found.agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     ranges = max(1, int(total // RANGE_SUFFIXES))

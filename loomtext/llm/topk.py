@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
+from loomtext.llm.tables import small_batches
 from loomtext.llm.toxicity import Lexicon, _doc_words, hash_words
 
 K = 10
@@ -125,7 +126,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             portions.append([])
             size = 0
         portions[-1].append(i)
-    slim = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
+    slim = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
     found = [_portion(slim, ids[p], [words[i] for i in p], k) for p in portions]
     out = found[0]
     for more in found[1:]:

@@ -2,7 +2,7 @@
 
 Texts are never decoded to Python strings here: a batch is one byte buffer with
 offsets, words are (start, end) byte ranges of it, and hashes are computed for all
-words of the batch at once. Batches are cut into slices of a few megabytes, so that
+words of the batch at once. Batches are cut into slices of about a megabyte, so that
 the temporary arrays stay small whatever the size of an Arrow batch; one text that is
 longer than a slice is a slice of its own.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _C1 = np.uint64(0xBF58476D1CE4E5B9)
 _C2 = np.uint64(0x94D049BB133111EB)
