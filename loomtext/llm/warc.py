@@ -159,7 +159,7 @@ def write(pages: DataFrame, level: int = 4) -> DataFrame:
         where.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.gz"
         empty = True
-        with where.open_output_stream(f"{root}/{name}") as out:
+        with where.open_output_stream(f"{root}/{name}", compression=None) as out:
             for b in batches:
                 for i in range(b.num_rows):
                     empty = False
@@ -185,7 +185,7 @@ def read(paths: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 where, name = fs.FileSystem.from_uri(path)
                 rows, size = [], 0
-                with where.open_input_stream(name) as stream:
+                with where.open_input_stream(name, compression=None) as stream:
                     for r in read_stream(stream, path):
                         rows.append(r)
                         size += len(r[8] or b"") + 200
