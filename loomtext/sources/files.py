@@ -74,9 +74,10 @@ def read_files(spark: SparkSession, source: str | Path, rules: FileRules = FileR
         return content.decode(encoding, errors).replace("\r\n", "\n").replace("\r", "\n")
 
     files = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("source_path"), decode("content").alias("raw_text"))
+    # Spark leaves empty files out; the listing has them
     suffix = F.lower(F.regexp_extract("source_path", r"(\.[^./]*)$", 1))
     kinds = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
-    return files.join(F.broadcast(known), "source_path").select("source_path", "source_uri", "raw_text", ids.checksum(F.col("raw_text")).alias("checksum"), kinds[suffix].alias("media_type"), F.lit("{}").alias("source_metadata"))
+    return known.join(files, "source_path", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit(""))).select("source_path", "source_uri", "raw_text", ids.checksum(F.col("raw_text")).alias("checksum"), kinds[suffix].alias("media_type"), F.lit("{}").alias("source_metadata"))
 
 
 def table_sources(docs: DataFrame, uri, text, media_type: str = "text/plain", metadata=None) -> DataFrame:  # noqa: ANN001
