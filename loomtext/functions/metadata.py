@@ -6,7 +6,7 @@ import datetime as dt
 import math
 from collections.abc import Mapping
 
-RESERVED = "docprep."
+RESERVED = "loomtext."
 
 
 class MetadataError(ValueError):

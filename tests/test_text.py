@@ -107,6 +107,6 @@ def test_markup():
     assert (title, fields) == ("Top", {"author": "me"}) and "# Top" in body and "## Sub" in body
     fields, body = markup.front_matter("---\ntitle: X\ndate: 2024-01-02\n---\n\nbody\n")
     assert body == "body" and normalized(fields) == {"title": "X", "date": "2024-01-02"}
-    for bad in ({"docprep.x": 1}, {"a": float("nan")}, {1: 2}, {"a": object()}):
+    for bad in ({"loomtext.x": 1}, {"a": float("nan")}, {1: 2}, {"a": object()}):
         with pytest.raises(MetadataError):
             normalized(bad)
