@@ -16,17 +16,22 @@ of their ids. The run has as many tokens as can be had without repeating any doc
 least of supply / D(1). Documents of sources with more supply than demand whose place would be
 behind the end are not used. Documents are then range-sorted by position.
 
+So a source of one document may end the run early. With `whole` every document is used: the run has
+all tokens, and the curve of each source is scaled to end at the source's own supply, so that a
+document stands at the t with D(t) / D(1) = the part of its source's tokens up to its middle. A
+source's tokens are then spread as its weight says, and none can shorten the others.
+
 Sums over a source never meet in one task, however large the source: documents are put into
 buckets by the leading bits of their hash, tokens are summed by bucket, and only the order
 within a bucket is cumulated by a window. There is no sampling for the sort either: positions spread
-evenly by construction, so range k of n is [k/n, (k+1)/n).
+evenly by construction (with `whole` nearly so: at no t more than twice as dense), so range k of n is [k/n, (k+1)/n).
 
 Result of `positions`: doc_id, source, tokens, position, for each document used; `mix` returns
 all columns of the documents, sorted, and the position.
 
 Tokens are runs of non-blank characters. Defined results: a null source is a source of its own; a
-null or empty text has 0 tokens and stands where its predecessor ends; null ids have no place and
-are left out; rows of one id are all placed, and get their positions in the order of their texts' lengths; an empty table
+null or empty text has 0 tokens and stands where its predecessor ends; a source without any token is not
+in the run, and with `whole` stands at its beginning; null ids have no place and are left out; rows of one id are all placed, and get their positions in the order of their texts' lengths; an empty table
 gives an empty one; columns whose names clash with those used here are kept.
 """
 
@@ -70,39 +75,45 @@ def place(middle: Column, sources: Column, share: Column, flatten: float) -> Col
     return F.lit(2.0) * middle / (slope + root)  # without cancellation, and for lift = 0 too
 
 
-def positions(docs: DataFrame, flatten: float = FLATTEN) -> DataFrame:
-    """The place of each document that is used: see the module."""
+def positions(docs: DataFrame, flatten: float = FLATTEN, whole: bool = False) -> DataFrame:
+    """The place of each document that is used, with `whole` of each document: see the module."""
     counted = materialized(token_counts(docs), "tokens")
     rows = counted.count()
     bits = max(0, min(40, int(np.ceil(np.log2(max(1, rows / BUCKET_ROWS))))))
     counted = counted.withColumn("b", F.shiftrightunsigned("h", 60 - bits))
     sums = counted.groupBy("source", "b").agg(F.sum("tokens").alias("n"))
-    per = sums.groupBy("source").agg(F.sum("n").alias("supply")).filter("supply > 0")
-    totals = per.agg(F.sum("supply").alias("all"), F.count("*").alias("sources"))
+    per = sums.groupBy("source").agg(F.sum("n").alias("supply"))
+    some = per.filter("supply > 0")
+    totals = some.agg(F.coalesce(F.sum("supply"), F.lit(1)).alias("all"), F.greatest(F.count("*"), F.lit(1)).alias("sources"))
+    per = per if whole else some
     per = per.crossJoin(F.broadcast(totals))  # one row
     share = F.col("supply").cast("double") / F.col("all").cast("double")
-    whole = share + F.lit(flatten) * (F.lit(1.0) / F.col("sources").cast("double") - share) / F.lit(2.0)
-    per = per.select("source", share.alias("share"), F.col("sources").cast("double").alias("sources"), (F.col("supply").cast("double") / whole).alias("limit"))
+    ends = share + F.lit(flatten) * (F.lit(1.0) / F.col("sources").cast("double") - share) / F.lit(2.0)
+    per = per.select("source", "supply", share.alias("share"), F.col("sources").cast("double").alias("sources"), (F.col("supply").cast("double") / ends).alias("limit"))
     budget = per.agg(F.min("limit").alias("budget"))
     per = per.drop("limit").crossJoin(F.broadcast(budget))
     # what comes before each bucket: by source over its buckets, of which there are few
     before = sums.select("source", "b", (F.sum("n").over(Window.partitionBy("source").orderBy("b")) - F.col("n")).alias("before"))
-    starts = before.join(per, before.source.eqNullSafe(per.source)).select(before.source.alias("s2"), F.col("b").alias("b2"), "before", "share", "sources", "budget")
+    starts = before.join(per, before.source.eqNullSafe(per.source)).select(before.source.alias("s2"), F.col("b").alias("b2"), "before", "supply", "share", "sources", "budget")
     w = Window.partitionBy("source", "b").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     run = counted.withColumn("ahead", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     run = run.join(starts, run.source.eqNullSafe(starts.s2) & (run.b == starts.b2))
-    middle = ((F.col("before") + F.col("ahead")).cast("double") + F.col("tokens").cast("double") / F.lit(2.0)) / F.col("budget")
-    end = (F.col("before") + F.col("ahead") + F.col("tokens")).cast("double") / F.col("budget")
+    centre = (F.col("before") + F.col("ahead")).cast("double") + F.col("tokens").cast("double") / F.lit(2.0)
     demand = F.col("share") + F.lit(flatten) * (F.lit(1.0) / F.col("sources") - F.col("share")) / F.lit(2.0)
+    if whole:
+        at = place(centre / F.col("supply").cast("double") * demand, F.col("sources"), F.col("share"), flatten)
+        return run.select("doc_id", "source", "tokens", F.when(F.col("supply") > 0, at).otherwise(F.lit(0.0)).alias("position"))
+    middle = centre / F.col("budget")
+    end = (F.col("before") + F.col("ahead") + F.col("tokens")).cast("double") / F.col("budget")
     used = run.filter(end <= demand * F.lit(1.0 + 1e-9))
     return used.select("doc_id", "source", "tokens", place(middle, F.col("sources"), F.col("share"), flatten).alias("position"))
 
 
-def mix(docs: DataFrame, flatten: float = FLATTEN) -> DataFrame:
-    """The documents that are used, range-sorted by position, with all their columns and, last, their
+def mix(docs: DataFrame, flatten: float = FLATTEN, whole: bool = False) -> DataFrame:
+    """The documents that are used (with `whole` all that have an id), range-sorted by position, with all their columns and, last, their
     position (in place of a column of that name)."""
     spark = docs.sparkSession
-    where = positions(docs, flatten).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"), F.row_number().over(Window.partitionBy("doc_id").orderBy("position")).alias("__copy"))
+    where = positions(docs, flatten, whole).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"), F.row_number().over(Window.partitionBy("doc_id").orderBy("position")).alias("__copy"))
     numbered = docs.withColumn("__id0", F.col("doc_id").cast("bigint")).withColumn("__copy0", F.row_number().over(Window.partitionBy("__id0").orderBy(F.length("text"), F.xxhash64("text"))))
     # the copy is compared by a difference, so that the ids alone are the key and one exchange of the texts serves window and join
     placed = numbered.join(where, (F.col("__id0") == F.col("__id")) & ((F.col("__copy0") - F.col("__copy")) == 0))

@@ -274,6 +274,26 @@ def test_mixing(docs, rows, none):
     assert order == sorted(order) and mixing.mix(none).count() == 0
 
 
+def test_mixing_whole(spark, tmp_path):
+    """A tiny source, one of no tokens and a null one don't cut the others."""
+    rng = np.random.default_rng(18)
+    made = [(i, prose(rng, 50), f"s{i % 2}") for i in range(200)] + [(900, "one", "tiny"), (901, "", "blank"), (902, "two words", None)]
+    d = frame(spark, made).drop("position").repartition(3)
+    assert mixing.positions(d, whole=True).count() == 203
+    at = {r["doc_id"]: r["position"] for r in mixing.mix(d, whole=True).collect()}
+    assert set(at) == {i for i, _, _ in made} and list(at.values()) == sorted(at.values()) and 0 <= min(at.values()) and max(at.values()) <= 1
+    total, k = sum(len(t.split()) for _, t, _ in made), 4
+    for s in ("s0", "s1", "tiny", None):
+        own = sorted((at[i], len(t.split())) for i, t, x in made if x == s)
+        supply, ahead = sum(n for _, n in own), 0
+        demand = lambda x: supply / total * x + mixing.FLATTEN * (1 / k - supply / total) * (x - x * x / 2)  # noqa: B023, E731
+        for position, n in own:
+            assert demand(position) / demand(1) == pytest.approx((ahead + n / 2) / supply, abs=1e-9)
+            ahead += n
+    assert corpus_pipeline.source_mixing(spark, d, str(tmp_path)).count() == 203
+    assert mixing.mix(d.limit(0), whole=True).count() == 0 and mixing.mix(d.filter("doc_id = 901"), whole=True).count() == 1
+
+
 def test_language(spark, none):
     rng = np.random.default_rng(8)
     words = {x: ["".join(rng.choice(list(a), 5)) for _ in range(200)] for x, a in (("aa", "abcdefgh"), ("bb", "ghijklmn"), ("cc", "αβγδεζ"))}
