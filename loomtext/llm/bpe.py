@@ -260,8 +260,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str = DEFAULT) -> DataFrame:
-    """The tokens of each row of `docs` (doc_id, text): see SCHEMA."""
+def encode(docs: DataFrame, path: str = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The tokens of each row of `docs` (doc_id, text): see SCHEMA; and after them the columns `keep`.
+    Rows stay in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -269,9 +270,11 @@ def encode(docs: DataFrame, path: str = DEFAULT) -> DataFrame:
             for part in W.slices(W.buffers(b.column(1))[1], 2 << 20):
                 rows = b.slice(part[0], part[1] - part[0])
                 got = c.encode_column(rows.column(1))
-                yield pa.RecordBatch.from_arrays([rows.column(0), *got.columns], ["doc_id", *got.schema.names])
+                yield pa.RecordBatch.from_arrays([rows.column(0), *got.columns, *rows.columns[2:]], ["doc_id", *got.schema.names, *keep])
 
-    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in keep)])
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str = DEFAULT) -> DataFrame:

@@ -294,6 +294,18 @@ def test_mixing_whole(spark, tmp_path):
     assert mixing.mix(d.limit(0), whole=True).count() == 0 and mixing.mix(d.filter("doc_id = 901"), whole=True).count() == 1
 
 
+def test_pipeline_order(spark, tmp_path):
+    """The tokens come in the order of the curriculum, over partitions of different size."""
+    rng = np.random.default_rng(19)
+    made = [(i, prose(rng, 400 if i % 3 else 20), "en", f"s{i % 3}", 1) for i in range(90)]
+    spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = [r["doc_id"] for r in mixing.mix(corpus_pipeline.personal_data(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)), whole=True).collect()]
+    rows = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "position").collect()
+    assert [r["doc_id"] for r in rows] == want and len(want) == 90
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+
+
 def test_language(spark, none):
     rng = np.random.default_rng(8)
     words = {x: ["".join(rng.choice(list(a), 5)) for _ in range(200)] for x, a in (("aa", "abcdefgh"), ("bb", "ghijklmn"), ("cc", "αβγδεζ"))}
