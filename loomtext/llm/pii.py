@@ -1,6 +1,7 @@
 """Personal data by a linear-chain conditional random field (operator 6).
 
-Tokens are runs of non-blank characters. A token's features are its word shape: which classes of
+Tokens are runs of non-blank characters, cut also where wide scripts (without blanks between words) meet
+ASCII, and those of more than LONG bytes at marks that part fields. A token's features are its word shape: which classes of
 characters it holds, and how many, as a bit code; the codes of its neighbours are features too. The
 model is trained here, by gradient ascent on the exact log-likelihood (forward and backward), on the
 small labelled table that `labelled_table` writes out: plain words in several scripts, harmless
@@ -40,33 +41,84 @@ _N = len(LABELS)
 
 # --- features ------------------------------------------------------------------------------
 
-#: Classes of bytes; eight counters of one byte each fit a word of 64 bits.
+#: Classes of bytes; eight counters of one byte each fit a word of 64 bits, for pieces of a token of up to 255 bytes.
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".", "@", "=", "-", '"', "abcdef", "()", "+", ":/", ",;!?", "_")
 _LUTS = [np.zeros(256, np.uint64), np.zeros(256, np.uint64)]
 for _c, _chars in enumerate(_CLASSES):
     for _b in _chars.encode():
         _LUTS[_c // 8][_b] += np.uint64(1 << (8 * (_c % 8)))
 _LUTS[1][128:] += np.uint64(1 << 48)  # bytes of other scripts
-_LONG = 255
+_PIECE = 255
+LONG = 64  #: bytes; a longer token is a line of fields rather than a word
+_FIELD = np.zeros(256, bool)
+_FIELD[[ord(c) for c in "{}[]<>|;,&?\"'`"]] = True
+
+
+def find_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As words.find_words: runs between white space of any script, cut where wide characters meet ASCII, and
+    long ones at the marks of _FIELD, which are left out."""
+    gap, cut = W.BLANK[buf], np.zeros(len(buf) + 1, bool)
+    lead = np.flatnonzero(buf >= 0xC2)
+    if len(lead):
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
+        b0, b1, b2 = padded[lead], padded[lead + 1] & 63, padded[lead + 2] & 63
+        size = np.where(b0 < 0xE0, 2, np.where(b0 < 0xF0, 3, 4))
+        char = np.where(size == 2, (b0 & 31) << 6 | b1, np.where(size == 3, (b0 & 15) << 12 | b1 << 6 | b2, 1 << 17))
+        blank = np.isin(char, [0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B, 0xFEFF]) | ((char >= 0x2000) & (char <= 0x200A))
+        for k in range(3):
+            at = lead[blank & (size > k)] + k
+            gap[at] = True
+        # scripts written without blanks: Thai to Myanmar, Khmer, and all from CJK radicals and punctuation on, without the presentation forms of Arabic
+        wide = ((char >= 0x0E00) & (char < 0x10A0)) | ((char >= 0x1100) & (char < 0x1200)) | ((char >= 0x1780) & (char < 0x1800)) | ((char >= 0x2E80) & (char < 0xFB00)) | ((char >= 0xFE30) & (char < 0xFE70)) | ((char >= 0xFF00) & (char < 0x10000)) | (size == 4)
+        first, behind = lead[wide], (lead + size)[wide]
+        cut[first[(first > 0) & (buf[np.maximum(first - 1, 0)] < 128)]] = True
+        behind = behind[behind < len(buf)]
+        cut[behind[buf[behind] < 128]] = True
+
+    def runs(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = cut.copy()
+        edge[off] = True
+        inside = ~gap
+        begins, ends = edge[:-1].copy(), edge[1:].copy()
+        begins[1:] |= gap[:-1]
+        ends[:-1] |= gap[1:]
+        return np.flatnonzero(inside & begins), np.flatnonzero(inside & ends) + 1
+
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    starts, ends = runs(gap)
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        within = np.zeros(len(buf) + 1, np.int8)
+        within[starts[long]] = 1
+        within[ends[long]] -= 1
+        starts, ends = runs(gap | ((np.cumsum(within[:-1], dtype=np.int8) > 0) & _FIELD[buf]))
+    return starts, ends, np.searchsorted(starts, off)
 
 
 def shape_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The word shape of each token as a bit code; BITS bits."""
     if not len(starts):
         return np.zeros(0, np.int64)
-    stop = np.minimum(ends, starts + _LONG)  # the counters end at 255, where all features have long been decided
+    # a counter of one byte holds a piece of 255 bytes; the pieces of a token are added up
+    pieces = np.maximum((ends - starts + _PIECE - 1) // _PIECE, 1)
+    head = np.cumsum(pieces) - pieces
+    lo = np.repeat(starts, pieces) + _PIECE * (np.arange(int(pieces.sum())) - np.repeat(head, pieces))
+    hi = np.minimum(lo + _PIECE, np.repeat(ends, pieces))
     counts = []
     for lut in _LUTS:
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(lut[buf], out=total[1:])
-        counts.append(total[stop] - total[starts])
+        counts.append(total[hi] - total[lo])
     n = [((counts[c // 8] >> np.uint64(8 * (c % 8))) & np.uint64(255)).astype(np.int64) for c in range(15)]
+    if len(lo) > len(starts):
+        n = [np.add.reduceat(x, head) for x in n]
     digit, lower, upper, dot, at, equal, hyphen, quote, hexa, paren, plus, slash, stopmark, under, other = n
     size = ends - starts
     known = digit + lower + upper + dot + at + equal + hyphen + quote + paren + plus + slash + stopmark + under + other
     first = buf[starts]
     bits = [
-        at > 0, equal > 0, quote > 0, hyphen > 0, paren > 0, plus > 0, slash > 0, stopmark > 0, under > 0, other > 0, known < np.minimum(size, _LONG),
+        at > 0, equal > 0, quote > 0, hyphen > 0, paren > 0, plus > 0, slash > 0, stopmark > 0, under > 0, other > 0, known < size,
         dot == 0, dot == 1, dot == 2, dot == 3, dot > 3,
         digit == 0, (digit > 0) & (digit < 3), digit == 3, (digit > 3) & (digit < 8), (digit > 7) & (digit < 13), (digit > 12) & (digit < 20), digit > 19,
         (lower == 0) & (upper == 0), lower > 0, upper > 0, (digit > 0) & (lower > 0), (digit > 0) & (upper > 0) & (lower == 0), (hexa == lower) & (lower > 0) & (digit > 3),
@@ -278,7 +330,7 @@ _TRAIL[[ord(c) for c in ".,;:!?\"'"]] = True
 def spans(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice that has any: rows, and (text, first character, last + 1, label) of its spans."""
     for i, j, buf, off in W.text_slices(texts):
-        starts, ends, ptr = W.find_words(buf, off)
+        starts, ends, ptr = find_tokens(buf, off)
         doc = np.repeat(np.arange(j - i), np.diff(ptr))
         label = viterbi(model.emissions(shape_codes(buf, starts, ends), doc), doc, model.step) if len(starts) else np.zeros(0, np.int64)
         hit = np.flatnonzero(label)

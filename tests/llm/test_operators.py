@@ -205,6 +205,27 @@ def test_pii(spark, none):
     assert pii.find(none).count() == pii.redact(none).count() == 0
 
 
+def test_pii_without_blanks(spark):
+    """Addresses far into a text without ASCII blanks."""
+    mail = "ann.lee@mail.example.com"
+    made = [
+        "a" * 300 + mail,
+        "的一是不了人" * 50 + mail + "我在有他" * 50,
+        "的一是不了人" * 50 + "10.1.200.30" + "。" + mail + "，我在有他",
+        "plain\u00a0words\u3000only\u2003" * 30 + mail + "\u00a0here",
+        '{"a":' + '"word","b":' * 40 + f'"{mail}","c":"d"}}',
+        "word,other," * 40 + "10.1.200.30,word",
+    ]
+    got = defaultdict(list)
+    for r in pii.find(frame(spark, [(i, t, "s") for i, t in enumerate(made)])).collect():
+        got[r["doc_id"]].append((made[r["doc_id"]][r["char_start"] : r["char_end"]], r["kind"]))
+    assert mail in got[0][0][0] and got[0][0][1] == "EMAIL"
+    assert got[1] == got[3] == got[4] == [(mail, "EMAIL")]
+    assert got[2] == [("10.1.200.30", "IP"), (mail, "EMAIL")] and got[5] == [("10.1.200.30", "IP")]
+    many = "x1=" * 400  # counters beyond one byte
+    assert pii.codes_of([many]) == pii.codes_of([many + "x1="])
+
+
 TEXTS = ["", "a", "  two  blanks\n\n\ttab ", "漢字🚀 émile's don't 12345 x=1;", "  wide　space  x", "é combining", "z" * 5000, "<|endoftext|> kept", "don’t 'S 'll '' 3rd 10,000.50", "\r\n\r\n x"]
 
 
