@@ -158,6 +158,20 @@ def test_toxicity(spark, none):
     assert toxicity.without_toxic(d, toxicity.train(none, lab)).count() == 603
 
 
+def test_toxicity_of_long_documents(spark):
+    """Chance hits that are far apart don't add up; a toxic passage in a long document counts."""
+    words = sorted((f"vile{i}" for i in range(12)), key=lambda w: toxicity.hash_words([w])[0])
+    lex = toxicity.Lexicon(tuple(words), toxicity.hash_words(words), np.full(12, 0.75), 2.0)
+    rng = np.random.default_rng(15)
+    far = " ".join(f"{prose(rng, 400)} vile{i % 12}" for i in range(50))
+    near = f"{prose(rng, 10_000)} vile1 {prose(rng, 60)} vile2 vile3 {prose(rng, 10_000)}"
+    wide = f"vile1 {prose(rng, 126)} vile2 vile3 {prose(rng, 127)} vile4"
+    d = frame(spark, [(1, far, "s"), (2, near, "s"), (3, wide, "s"), (4, "vile1 vile2", "s"), (5, "vile1 vile2 vile3", "s")])
+    got = {r["doc_id"]: (r["score"], r["hits"], r["toxic"]) for r in toxicity.score(d, lex).collect()}
+    assert got == {1: (0.75, 50, False), 2: (2.25, 3, True), 3: (1.5, 4, False), 4: (1.5, 2, False), 5: (2.25, 3, True)}
+    assert {r["doc_id"] for r in toxicity.without_toxic(d, lex).collect()} == {1, 3, 4}
+
+
 def test_flac(spark):
     rng = np.random.default_rng(6)
     made, want = [], {}
