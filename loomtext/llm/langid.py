@@ -1,9 +1,9 @@
 """Language identification with language-bitmask n-gram filters (operator 10).
 
 Training keeps, for each language, the byte n-grams that are typical of it: those in at
-least `min_docs` of its sampled documents, and not much rarer there than in the language
+least `min_docs` of its sampled documents (in all of them, where there are fewer), and not much rarer there than in the language
 that has them most. All languages share one bit-sliced Bloom filter: row r is a bit mask
-with one bit per language, and the AND of an n-gram's k rows is the set of all languages
+with one bit per language, in as many words of 64 bits as that takes, and the AND of an n-gram's k rows is the set of all languages
 that (seem to) contain it, so one look-up answers for every language. A document's n-grams
 are looked up in bulk; the popcounts per language are corrected for the filter's
 false-positive rate, and the language with the largest corrected share is chosen.
@@ -44,7 +44,7 @@ class Params:
 @dataclass(frozen=True)
 class Filters:
     languages: tuple[str, ...]
-    rows: np.ndarray  #: uint64 masks, a power of two of them
+    rows: np.ndarray  #: uint64 masks, (slices of 64 languages, a power of two)
     false_rate: np.ndarray  #: for each language
     params: Params
 
@@ -70,15 +70,15 @@ def _row(h: np.ndarray, j: int, m: int) -> np.ndarray:
 
 def build(languages: list[str], gram: np.ndarray, lang: np.ndarray, p: Params) -> Filters:
     """Filters over the given (n-gram hash, language number) pairs."""
-    if len(languages) > 64:
-        raise ValueError("one slice holds 64 languages")
     most = int(np.bincount(lang, minlength=1).max()) if len(lang) else 1
     m = 1 << max(10, int(np.ceil(np.log2(max(1, most * p.bits_per_gram)))))
-    rows = np.zeros(m, np.uint64)
-    bit = np.uint64(1) << lang.astype(np.uint64)
-    for j in range(p.hashes):
-        np.bitwise_or.at(rows, _row(gram, j, m), bit)
-    fill = np.array([float(((rows >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+    rows = np.zeros((max(1, -(-len(languages) // 64)), m), np.uint64)
+    bit = np.uint64(1) << (lang % 64).astype(np.uint64)
+    for s in range(len(rows)):
+        own = lang // 64 == s
+        for j in range(p.hashes):
+            np.bitwise_or.at(rows[s], _row(gram[own], j, m), bit[own])
+    fill = np.array([float(((rows[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(languages))])
     return Filters(tuple(languages), rows, fill**p.hashes, p)
 
 
@@ -114,7 +114,7 @@ def train(docs: DataFrame, params: Params = Params()) -> Filters:
 
     size = {r["l"]: r["n"] for r in sample.groupBy("l").agg(F.count("*").alias("n")).collect()}
     per = F.create_map(*[x for i in range(len(languages)) for x in (F.lit(i), F.lit(float(size.get(i, 1))))])
-    found = sample.mapInArrow(count, "l int, g bigint, n bigint").groupBy("g", "l").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.min_docs)
+    found = sample.mapInArrow(count, "l int, g bigint, n bigint").groupBy("g", "l").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.least(F.lit(float(p.min_docs)), per[F.col("l")]))
     found = found.select("g", "l", (F.col("n") / per[F.col("l")]).alias("share")).groupBy("g").agg(F.collect_list(F.struct("l", "share")).alias("x"), F.max("share").alias("most"))
     found = found.select("g", F.explode(F.filter("x", lambda s: s["share"] >= F.col("most") * p.ratio)).alias("s")).select("g", "s.l")
     got = found.toArrow()
@@ -123,18 +123,20 @@ def train(docs: DataFrame, params: Params = Params()) -> Filters:
 
 def score_batch(f: Filters, arr: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(language, score, margin, n-grams) of lower-cased texts."""
-    count, k, m = len(arr), len(f.languages), len(f.rows)
+    count, k, m = len(arr), len(f.languages), f.rows.shape[1]
     share, total = np.zeros((count, max(k, 1))), np.zeros(count, np.int64)
     for i, j, buf, off in W.text_slices(arr):
         g, ptr = grams(buf, off, f.params.n)
-        mask = np.full(len(g), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for t in range(f.params.hashes):
-            mask &= f.rows[_row(g, t, m)]
+        at = [_row(g, t, m) for t in range(f.params.hashes)]
         n = np.diff(ptr)
         total[i:j] = n
         some = n > 0
         for x in range(k):
-            bits = ((mask >> np.uint64(x)) & np.uint64(1)).astype(np.uint8)
+            if x % 64 == 0:  # the next slice
+                mask = np.full(len(g), np.uint64(0xFFFFFFFFFFFFFFFF))
+                for place in at:
+                    mask &= f.rows[x // 64][place]
+            bits = ((mask >> np.uint64(x % 64)) & np.uint64(1)).astype(np.uint8)
             hits = np.zeros(j - i)
             if len(bits):
                 hits[some] = np.add.reduceat(bits, ptr[:-1][some], dtype=np.int64)

@@ -355,6 +355,17 @@ def test_language(spark, none):
         assert len(g)
 
 
+def test_many_languages(spark):
+    """More languages than bits of a word, and one with a single document."""
+    rng = np.random.default_rng(20)
+    words = {f"l{x:03}": ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(40)] for x in range(130)}
+    made = [(i, " ".join(rng.choice(words[x], 60)), x) for i, x in enumerate([*words] * 4)] + [(9000, "zzzyxwv uuzwxyz vvwwxzy", "one")]
+    d = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    f = langid.train(d)
+    got = {r["doc_id"]: r["language"] for r in langid.identify(d, f).collect()}
+    assert len(f.languages) == 131 and sum(got[i] == x for i, _, x in made) >= 515 and got[9000] == "one"
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
