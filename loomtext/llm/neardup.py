@@ -3,10 +3,11 @@
 A document is the set of its 3-word shingles (words: lower-cased runs of letters and digits;
 a text of fewer words is one shingle). Signatures are circulant: one permutation sigma spreads
 the shingles over a universe of 2^20 places, and a second one, pi, shifted circularly by k, gives
-coordinate k, so two permutations stand for all 128. The 128 values of a place are adjacent in
+coordinate k, so two permutations stand for all 160. The 160 values of a place are adjacent in
 memory (pi from sigma(x) on), and a signature is the minimum of such rows.
 
-32 bands of 4 coordinates give buckets. Documents of a bucket are candidates, and every pair that
+40 bands of 4 coordinates give buckets: a pair at the threshold of 0.5 shares one with probability
+1 - (1 - 0.5^4)^40 = 0.924. Documents of a bucket are candidates, and every pair that
 counts is verified by its exact Jaccard similarity. Groups are the connected components of the
 verified pairs. Not all pairs of a bucket need verification for that: first each member is
 compared with the least of its bucket, and then, exactly, all pairs of a bucket whose members are
@@ -40,7 +41,7 @@ from loomtext.llm.tables import materialized, small_batches
 @dataclass(frozen=True)
 class Params:
     shingle: int = 3  #: words
-    bands: int = 32
+    bands: int = 40
     rows: int = 4
     threshold: float = 0.5  #: least Jaccard similarity of a pair
     universe_bits: int = 20

@@ -127,6 +127,16 @@ def test_recall_of_bands():
     assert found / n >= 0.9  # at a similarity of 0.6
 
 
+def test_recall_of_bands_at_threshold():
+    rng = np.random.default_rng(14)
+    p, found, n = neardup.Params(), 0, 2000
+    for _ in range(n):
+        both, own = rng.integers(0, 1 << 60, 80, dtype=np.uint64), rng.integers(0, 1 << 60, (2, 40), dtype=np.uint64)
+        h = neardup.band_hashes(neardup.signatures(np.concatenate([both, own[0], both, own[1]]), np.array([0, 120, 240]), p), p)
+        found += bool(set(h[0].tolist()) & set(h[1].tolist()))
+    assert p.threshold == 0.5 and found / n >= 0.9
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5)], "a bigint, b bigint")
     assert {tuple(r) for r in components(edges).collect()} == {(3, 2), (4, 2), (5, 2), (9, 8)}
