@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomtext.llm import bpe, flac, langid, mixing, neardup, pii, queries, suffixes, topk, toxicity, warc
+from loomtext.llm import bpe, flac, langid, mixing, neardup, queries, suffixes, topk, toxicity, warc
 from loomtext.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, word string, position string"
@@ -204,52 +204,6 @@ def test_flac(spark):
     assert flac.decode(d.limit(0)).count() == 0
 
 
-def test_pii(spark, none):
-    model = pii.default_model()
-    right = total = 0
-    for tokens, labels in pii.labelled_table(120, seed=99):
-        e = model.emissions(pii.codes_of(tokens), np.zeros(len(tokens), int))
-        got = [pii.LABELS[x] for x in pii.viterbi(e, np.zeros(len(tokens), int), model.step)]
-        right, total = right + sum(a == b for a, b in zip(got, labels, strict=True)), total + len(labels)
-    assert right / total > 0.98
-    rng = np.random.default_rng(7)
-    for _ in range(30):
-        e, step, doc = rng.normal(size=(6, 6)), rng.normal(size=(6, 6)), np.array([0, 0, 0, 0, 1, 1])
-        score = lambda y: sum(e[i, y[i]] for i in range(6)) + sum(step[y[i], y[i + 1]] for i in (0, 1, 2, 4))  # noqa: B023, E731
-        best = max(itertools.product(range(6), repeat=6), key=score) if _ < 3 else None
-        got = pii.viterbi(e, doc, step)
-        assert best is None or np.isclose(score(got), score(best))
-    t = "Écrire à ann.lee@mail.example.com, ou 10.1.200.30."
-    d = frame(spark, [(1, t, "s"), (1, t, "s"), (2, None, "s"), (3, "", "s"), (4, "plain words only here", "s")])
-    found = [tuple(r) for r in pii.find(d).collect()]
-    assert Counter(found) == {(1, t.index("ann"), t.index(", ou"), "EMAIL"): 2, (1, t.index("10.1"), len(t) - 1, "IP"): 2}
-    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(d).collect()}
-    want = "Écrire à <EMAIL>, ou <IP>."
-    assert out == {1: (want, len(want)), 2: (None, None), 3: ("", 0), 4: ("plain words only here", 21)}
-    assert pii.find(none).count() == pii.redact(none).count() == 0
-
-
-def test_pii_without_blanks(spark):
-    """Addresses far into a text without ASCII blanks."""
-    mail = "ann.lee@mail.example.com"
-    made = [
-        "a" * 300 + mail,
-        "的一是不了人" * 50 + mail + "我在有他" * 50,
-        "的一是不了人" * 50 + "10.1.200.30" + "。" + mail + "，我在有他",
-        "plain\u00a0words\u3000only\u2003" * 30 + mail + "\u00a0here",
-        '{"a":' + '"word","b":' * 40 + f'"{mail}","c":"d"}}',
-        "word,other," * 40 + "10.1.200.30,word",
-    ]
-    got = defaultdict(list)
-    for r in pii.find(frame(spark, [(i, t, "s") for i, t in enumerate(made)])).collect():
-        got[r["doc_id"]].append((made[r["doc_id"]][r["char_start"] : r["char_end"]], r["kind"]))
-    assert mail in got[0][0][0] and got[0][0][1] == "EMAIL"
-    assert got[1] == got[3] == got[4] == [(mail, "EMAIL")]
-    assert got[2] == [("10.1.200.30", "IP"), (mail, "EMAIL")] and got[5] == [("10.1.200.30", "IP")]
-    many = "x1=" * 400  # counters beyond one byte
-    assert pii.codes_of([many]) == pii.codes_of([many + "x1="])
-
-
 TEXTS = ["", "a", "  two  blanks\n\n\ttab ", "漢字🚀 émile's don't 12345 x=1;", "  wide　space  x", "é combining", "z" * 5000, "<|endoftext|> kept", "don’t 'S 'll '' 3rd 10,000.50", "\r\n\r\n x"]
 
 
