@@ -1,43 +1,46 @@
 """Mixing sources to weights that vary over training (operator 9).
 
-Position t runs from 0 to 1 over the training run. The weight of a source moves linearly from a
-mixture of its natural share and an equal share (`flatten`: how much of the latter) at t = 0 to its
-natural share at t = 1, so the weights add up to 1 at every t:
+Position t runs from 0 to 1 over the training run. A schedule gives each source a weight at some
+positions; between them weights are linear, before the first and behind the last they are constant, and at every t they are scaled
+to add up to 1. A source that the schedule does not name has its natural share of all tokens as its
+weight. Without a schedule the weights move linearly from a mixture of the natural shares and equal
+ones (`flatten`: how much of the latter) at t = 0 to the natural shares at t = 1.
 
-    w(t) = share + flatten * (1 - t) * (1 / sources - share)
+Integrating w gives the part D(t) of the run's tokens that a source has been asked for up to t; it is
+a quadratic between neighbouring positions of the schedule, and inverted in closed form. A run has as many
+tokens as there are, N. A source of `supply` tokens is asked for N * D(1) of them, that is for
 
-Integrating w gives the part of the run's tokens that a source has been asked for up to t,
+    epochs = N * D(1) / supply
 
-    D(t) = share * t + flatten * (1 / sources - share) * (t - t^2 / 2)
+passes over its documents. Scarce sources are repeated, but at most `most_epochs` times, and rich ones are
+used at least `least_epochs` times (1: no document is ever left out); between these bounds the run keeps to the target weights
+exactly, and beyond them a source's weight is scaled to what its passes supply. So a tiny source
+neither shortens the run of the others nor fills it. With both bounds 1 every document stands exactly once.
 
-and a document stands where D reaches the tokens of its source up to its middle, as a part of the
-run's tokens: D is inverted in closed form. Within a source documents come in the order of a hash
-of their ids. The run has as many tokens as can be had without repeating any document: the
-least of supply / D(1). Documents of sources with more supply than demand whose place would be
-behind the end are not used. Documents are then range-sorted by position.
-
-So a source of one document may end the run early. With `whole` every document is used: the run has
-all tokens, and the curve of each source is scaled to end at the source's own supply, so that a
-document stands at the t with D(t) / D(1) = the part of its source's tokens up to its middle. A
-source's tokens are then spread as its weight says, and none can shorten the others.
+A document of pass k stands where D reaches the tokens of its source up to its middle:
+D(t) / D(1) = (k + tokens up to its middle / supply) / epochs. Within a source documents come in the
+order of a hash of their ids; of the last, partial pass those that fit into it as a whole are used. Documents are then
+range-sorted by position.
 
 Sums over a source never meet in one task, however large the source: documents are put into
 buckets by the leading bits of their hash, tokens are summed by bucket, and only the order
 within a bucket is cumulated by a window. There is no sampling for the sort either: positions spread
-evenly by construction (with `whole` nearly so: at no t more than twice as dense), so range k of n is [k/n, (k+1)/n).
+nearly evenly by construction where the schedule can be kept to, so range k of n is [k/n, (k+1)/n).
 
-Result of `positions`: doc_id, source, tokens, position, for each document used; `mix` returns
-all columns of the documents, sorted, and the position.
+Result of `positions`: doc_id, source, tokens, epoch (0, 1, ...), position; `mix` returns
+all columns of the documents, sorted, then epoch and position (in place of columns of these names).
 
 Tokens are runs of non-blank characters. Defined results: a null source is a source of its own; a
-null or empty text has 0 tokens and stands where its predecessor ends; a source without any token is not
-in the run, and with `whole` stands at its beginning; null ids have no place and are left out; rows of one id are all placed, and get their positions in the order of their texts' lengths; an empty table
-gives an empty one; columns whose names clash with those used here are kept.
+null or empty text has 0 tokens and stands where its predecessor ends; a source without any token stands once, at the beginning; a
+source of weight 0 throughout stands at the beginning of the run, as often as least_epochs says; null ids have no place and
+are left out; ids are cast to bigint, and one that is no number is an error; rows of one id are all placed, and get their positions in the order of their texts' lengths; an empty table
+gives an empty one; other columns keep their names, whatever these are. A schedule with a negative weight, with a position
+outside [0, 1], with two weights of a source at one position, or with more than TIMES different positions is refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +51,11 @@ from loomtext.llm import words as W
 from loomtext.llm.tables import materialized, small_batches
 
 FLATTEN = 0.2
+LEAST_EPOCHS, MOST_EPOCHS = 1.0, 4.0
+TIMES = 1000
 BUCKET_ROWS = 20_000  #: documents aimed at for a bucket of a window
 _ID_HASH = "substring(md5(cast(doc_id AS string)), 1, 15)"
+SCHEDULE = "source string, t double, weight double"
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -67,58 +73,110 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id bigint, source string, tokens bigint").withColumn("h", F.expr(f"cast(conv({_ID_HASH}, 16, 10) AS bigint)"))
 
 
-def place(middle: Column, sources: Column, share: Column, flatten: float) -> Column:
-    """The t at which D(t) = middle."""
-    lift = F.lit(flatten) * (F.lit(1.0) / sources - share)  # D(t) = (share + lift) t - lift t^2 / 2
-    slope = share + lift
-    root = F.sqrt(F.greatest(slope * slope - F.lit(2.0) * lift * middle, F.lit(0.0)))
-    return F.lit(2.0) * middle / (slope + root)  # without cancellation, and for lift = 0 too
+def times_of(schedule: DataFrame) -> list[float]:
+    """The positions of a schedule, after its rows were looked through; 0 and 1 are always among them."""
+    bad = schedule.filter("t IS NULL OR weight IS NULL OR NOT (t BETWEEN 0 AND 1) OR NOT (weight >= 0 AND weight < double('Infinity'))")
+    if not bad.isEmpty():
+        raise ValueError("a schedule has weights of 0 or more at positions from 0 to 1")
+    if not schedule.groupBy("source", "t").count().filter("count > 1").isEmpty():
+        raise ValueError("a schedule has one weight of a source at a position")
+    times = [r[0] for r in schedule.select("t").distinct().limit(TIMES + 1).collect()]
+    if len(times) > TIMES:
+        raise ValueError(f"a schedule has at most {TIMES} different positions")
+    return sorted({0.0, 1.0, *times})
+
+
+def weight_at(knots: Column, t: Column) -> Column:
+    """The weight at t between the knots (t, weight) of a source, which are in order."""
+    before, after = F.filter(knots, lambda k: k["t"] <= t), F.filter(knots, lambda k: k["t"] >= t)
+    a, b = F.try_element_at(before, F.lit(-1)), F.try_element_at(after, F.lit(1))
+    between = a["weight"] + (b["weight"] - a["weight"]) * (t - a["t"]) / (b["t"] - a["t"])
+    return F.when(a.isNull(), b["weight"]).when(b.isNull() | (a["t"] == b["t"]), a["weight"]).otherwise(between)
 
 
-def positions(docs: DataFrame, flatten: float = FLATTEN, whole: bool = False) -> DataFrame:
-    """The place of each document that is used, with `whole` of each document: see the module."""
+def demands(per: DataFrame, schedule: DataFrame | None, flatten: float) -> DataFrame:
+    """`per` (source, supply, all, sources) with the arrays times, w (weights at them) and d (their integral)."""
+    share = F.col("supply").cast("double") / F.col("all").cast("double")
+    if schedule is None:
+        first = F.when(F.col("supply") > 0, share + F.lit(flatten) * (F.lit(1.0) / F.col("sources").cast("double") - share)).otherwise(0.0)
+        per, times = per.withColumn("w", F.array(first, share)), [0.0, 1.0]
+    else:
+        times = times_of(schedule)
+        knots = schedule.groupBy(F.col("source").alias("named")).agg(F.sort_array(F.collect_list(F.struct("t", "weight"))).alias("knots"))
+        at = F.array(*[F.lit(t) for t in times])
+        given = F.when(F.col("knots").isNotNull(), F.transform(at, lambda t: weight_at(F.col("knots"), t))).otherwise(F.transform(at, lambda _: share))
+        raw = per.join(knots, per.source.eqNullSafe(knots.named), "left").select(*per.columns, given.alias("raw"))
+        sums = raw.filter("supply > 0").select(F.posexplode("raw").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+        sums = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("sums"))  # one row, of at most TIMES + 2 numbers
+        scaled = F.zip_with("raw", "sums", lambda x, s: F.when(s > 0, x / s).otherwise(0.0))
+        per = raw.join(F.broadcast(sums), how="left").select(*per.columns, F.when(F.col("supply") > 0, scaled).otherwise(F.transform("raw", lambda _: F.lit(0.0))).alias("w"))
+    places = F.array(*[F.lit(t) for t in times])
+    d = F.array(F.lit(0.0))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(len(times) - 1)), lambda k: (F.get("w", k - 1) + F.get("w", k)) / F.lit(2.0) * (F.get(places, k) - F.get(places, k - 1)))
+    d = F.aggregate(steps, d, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return per.withColumn("times", places).withColumn("d", d)
+
+
+def place(y: Column, times: Column, w: Column, d: Column) -> Column:
+    """The t at which the integral reaches y."""
+    j = F.greatest(F.size(F.filter(d, lambda x: x < y)) - 1, F.lit(0))
+    j = F.least(j, F.size(d) - 2)
+    t0, w0, rest = F.get(times, j), F.get(w, j), y - F.get(d, j)
+    slope = (F.get(w, j + 1) - w0) / (F.get(times, j + 1) - t0)
+    root = w0 + F.sqrt(F.greatest(w0 * w0 + F.lit(2.0) * slope * rest, F.lit(0.0)))  # without cancellation, and for slope = 0 too
+    return F.least(t0 + F.when(root > 0, F.lit(2.0) * rest / root).otherwise(0.0), F.lit(1.0))
+
+
+def positions(docs: DataFrame, schedule: DataFrame | Iterable[tuple] | None = None, flatten: float = FLATTEN, least_epochs: float = LEAST_EPOCHS, most_epochs: float = MOST_EPOCHS) -> DataFrame:
+    """The places of documents in the run: see the module. schedule: (source, t, weight)."""
+    if not 0 <= least_epochs <= most_epochs:
+        raise ValueError("0 <= least_epochs <= most_epochs is needed")
+    if schedule is not None and not isinstance(schedule, DataFrame):
+        schedule = docs.sparkSession.createDataFrame([(s, float(t), float(w)) for s, t, w in schedule], SCHEDULE)
     counted = materialized(token_counts(docs), "tokens")
     rows = counted.count()
     bits = max(0, min(40, int(np.ceil(np.log2(max(1, rows / BUCKET_ROWS))))))
     counted = counted.withColumn("b", F.shiftrightunsigned("h", 60 - bits))
     sums = counted.groupBy("source", "b").agg(F.sum("tokens").alias("n"))
     per = sums.groupBy("source").agg(F.sum("n").alias("supply"))
-    some = per.filter("supply > 0")
-    totals = some.agg(F.coalesce(F.sum("supply"), F.lit(1)).alias("all"), F.greatest(F.count("*"), F.lit(1)).alias("sources"))
-    per = per if whole else some
-    per = per.crossJoin(F.broadcast(totals))  # one row
-    share = F.col("supply").cast("double") / F.col("all").cast("double")
-    ends = share + F.lit(flatten) * (F.lit(1.0) / F.col("sources").cast("double") - share) / F.lit(2.0)
-    per = per.select("source", "supply", share.alias("share"), F.col("sources").cast("double").alias("sources"), (F.col("supply").cast("double") / ends).alias("limit"))
-    budget = per.agg(F.min("limit").alias("budget"))
-    per = per.drop("limit").crossJoin(F.broadcast(budget))
+    totals = per.filter("supply > 0").agg(F.coalesce(F.sum("supply"), F.lit(1)).alias("all"), F.greatest(F.count("*"), F.lit(1)).alias("sources"))
+    per = per.join(F.broadcast(totals))  # one row
+    per = demands(per, schedule, flatten)
+    whole = F.element_at("d", -1)
+    asked = F.col("all").cast("double") * whole / F.col("supply").cast("double")
+    epochs = F.when(F.col("supply") > 0, F.greatest(F.least(asked, F.lit(float(most_epochs))), F.lit(float(least_epochs)))).otherwise(F.lit(1.0))
+    per = per.select("source", "supply", "times", "w", "d", epochs.alias("epochs"))
     # what comes before each bucket: by source over its buckets, of which there are few
     before = sums.select("source", "b", (F.sum("n").over(Window.partitionBy("source").orderBy("b")) - F.col("n")).alias("before"))
-    starts = before.join(per, before.source.eqNullSafe(per.source)).select(before.source.alias("s2"), F.col("b").alias("b2"), "before", "supply", "share", "sources", "budget")
+    starts = before.join(per, before.source.eqNullSafe(per.source)).select(before.source.alias("s2"), F.col("b").alias("b2"), "before", "supply", "times", "w", "d", "epochs")
     w = Window.partitionBy("source", "b").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     run = counted.withColumn("ahead", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     run = run.join(starts, run.source.eqNullSafe(starts.s2) & (run.b == starts.b2))
-    centre = (F.col("before") + F.col("ahead")).cast("double") + F.col("tokens").cast("double") / F.lit(2.0)
-    demand = F.col("share") + F.lit(flatten) * (F.lit(1.0) / F.col("sources") - F.col("share")) / F.lit(2.0)
-    if whole:
-        at = place(centre / F.col("supply").cast("double") * demand, F.col("sources"), F.col("share"), flatten)
-        return run.select("doc_id", "source", "tokens", F.when(F.col("supply") > 0, at).otherwise(F.lit(0.0)).alias("position"))
-    middle = centre / F.col("budget")
-    end = (F.col("before") + F.col("ahead") + F.col("tokens")).cast("double") / F.col("budget")
-    used = run.filter(end <= demand * F.lit(1.0 + 1e-9))
-    return used.select("doc_id", "source", "tokens", place(middle, F.col("sources"), F.col("share"), flatten).alias("position"))
-
-
-def mix(docs: DataFrame, flatten: float = FLATTEN, whole: bool = False) -> DataFrame:
-    """The documents that are used (with `whole` all that have an id), range-sorted by position, with all their columns and, last, their
-    position (in place of a column of that name)."""
+    supply, ahead = F.col("supply").cast("double"), F.col("before") + F.col("ahead")
+    run = run.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs") - 1, F.lit(0)).cast("int"))))
+    end = F.when(F.col("supply") > 0, F.col("epoch") + (ahead + F.col("tokens")).cast("double") / supply).otherwise(F.lit(0.0))
+    run = run.filter(end <= F.col("epochs") * F.lit(1.0 + 1e-9))
+    part = (F.col("epoch") + (ahead.cast("double") + F.col("tokens").cast("double") / F.lit(2.0)) / supply) / F.col("epochs")
+    at = F.when((F.col("supply") > 0) & (whole > 0), place(part * whole, F.col("times"), F.col("w"), F.col("d"))).otherwise(F.lit(0.0))
+    return run.select("doc_id", "source", "tokens", "epoch", at.alias("position"))
+
+
+def mix(docs: DataFrame, schedule: DataFrame | Iterable[tuple] | None = None, flatten: float = FLATTEN, least_epochs: float = LEAST_EPOCHS, most_epochs: float = MOST_EPOCHS) -> DataFrame:
+    """The documents that have an id, as often as they stand in the run, range-sorted by position: see the module."""
     spark = docs.sparkSession
-    where = positions(docs, flatten, whole).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"), F.row_number().over(Window.partitionBy("doc_id").orderBy("position")).alias("__copy"))
-    numbered = docs.withColumn("__id0", F.col("doc_id").cast("bigint")).withColumn("__copy0", F.row_number().over(Window.partitionBy("__id0").orderBy(F.length("text"), F.xxhash64("text"))))
+    where = positions(docs, schedule, flatten, least_epochs, most_epochs)
+    where = where.select("doc_id", "epoch", "position", F.row_number().over(Window.partitionBy("doc_id", "epoch").orderBy("position")).alias("copy"))
+    row = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so no name can clash
+    numbered = row.withColumn("copy0", F.row_number().over(Window.partitionBy("id").orderBy(F.length("row.text"), F.xxhash64("row.text"))))
     # the copy is compared by a difference, so that the ids alone are the key and one exchange of the texts serves window and join
-    placed = numbered.join(where, (F.col("__id0") == F.col("__id")) & ((F.col("__copy0") - F.col("__copy")) == 0))
+    placed = numbered.join(where, (F.col("id") == F.col("doc_id")) & ((F.col("copy0") - F.col("copy")) == 0))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = F.least(F.floor(F.col("__position") * n), F.lit(n - 1)).cast("int")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "position"]
-    ranged = placed.repartitionById(n, part).sortWithinPartitions("__position", "__id", "__copy")
-    return ranged.select(*columns, F.col("__position").alias("position"))
+    part = F.least(F.floor(F.col("position") * n), F.lit(n - 1)).cast("int")
+    ranged = placed.repartitionById(n, part).sortWithinPartitions("position", "id", "epoch", "copy")
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("epoch", "position")]
+    return ranged.select(*columns, "epoch", "position")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """Each document once, with its columns alone, in the order of the curriculum."""
+    return mix(docs, least_epochs=1.0, most_epochs=1.0).select(*[f"`{c}`" for c in docs.columns if c not in ("epoch", "position")])
