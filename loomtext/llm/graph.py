@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.tables import materialized
-
+from loomtext.llm.tables import discard, materialized
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = near.filter("w > u").select(F.col("w").alias("v"), "m").distinct()
         down = large.select(F.col("v").alias("u"), F.col("m").alias("w")).withColumn("m", F.min("w").over(by_u))
         small = down.filter("w > m").select(F.col("w").alias("v"), "m").union(down.select(F.col("u").alias("v"), "m")).distinct()
-        now = materialized(small, "edges")
+        last, now = now, materialized(small, "edges")
+        discard(last)
         stats = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if stats == before:
             return now

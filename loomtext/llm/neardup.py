@@ -2,23 +2,31 @@
 
 A document is the set of its 3-word shingles (words: lower-cased runs of letters and digits;
 a text of fewer words is one shingle). Signatures are circulant: one permutation sigma spreads
-the shingles over a universe of 2^20 places, and a second one, pi, shifted circularly by k, gives
-coordinate k, so two permutations stand for all 160. The 160 values of a place are adjacent in
-memory (pi from sigma(x) on), and a signature is the minimum of such rows.
-
-40 bands of 4 coordinates give buckets: a pair at the threshold of 0.5 shares one with probability
-1 - (1 - 0.5^4)^40 = 0.924. Documents of a bucket are candidates, and every pair that
-counts is verified by its exact Jaccard similarity. Groups are the connected components of the
-verified pairs. Not all pairs of a bucket need verification for that: first each member is
-compared with the least of its bucket, and then, exactly, all pairs of a bucket whose members are
-still in different components. Pairs left out are already in one group, so groups are those of all
-candidate pairs, whatever the size of a bucket.
+the shingles over a universe of 2^32 places, and a second one, pi, shifted circularly by k, gives
+coordinate k, so two permutations stand for all 160. Places are 4096 blocks of 2^20; the shift is circular
+within a block, and pi is computed: the block and the place in it each pick a random number, these are combined by
+exclusive or, and the block is appended, so that no two places have one value. The 160 numbers of a place are adjacent in
+memory, and a signature is the minimum of such rows.
+
+1. Equal texts are one class (by MD5 of the lower-cased text), stand for it by their least id, and are expanded again at the end, so a text that is
+   there a million times costs one signature in the steps that follow.
+2. 40 bands of 4 coordinates give buckets: a pair at the threshold of 0.5 shares one with probability
+   1 - (1 - 0.5^4)^40 = 0.924. Classes of a bucket are candidates, and every pair that
+   counts is verified by its exact Jaccard similarity.
+3. Groups are the connected components of the verified pairs. Not all pairs of a bucket need verification for that: first each member is
+   compared with the least of its bucket, and then, exactly, members that are not in the bucket's commonest
+   component with all members that are in another component than theirs. Pairs left out are already in one group, so groups are those of all
+   candidate pairs, whatever the size of a bucket.
+
+What meets by a key is bounded: least members are found by an aggregate (combined before it is shuffled), the sets of a
+hub's partners are joined in blocks of BLOCK, and so are the members of a bucket with each other.
 
 Result: doc_id, group_id (the least doc_id of its group), keep (doc_id = group_id) for each
 document of a group of two or more.
 
 Defined results: null ids or texts and texts without a word are in no group; rows of one id are
-one document, near another if one of its texts is; further columns of the input are ignored.
+one document, near another if one of its texts is; further columns of the input are ignored by `groups` and kept by `keep_one`, whatever their names;
+ids are cast to bigint, and one that is no number is an error; an empty table has no groups.
 """
 
 from __future__ import annotations
@@ -37,6 +45,8 @@ from loomtext.llm.graph import components
 from loomtext.llm.suffixes import gram_hashes
 from loomtext.llm.tables import materialized, small_batches
 
+BLOCK = 2000  #: members of a bucket, or partners of a hub, that meet in one key
+
 
 @dataclass(frozen=True)
 class Params:
@@ -44,7 +54,6 @@ class Params:
     bands: int = 40
     rows: int = 4
     threshold: float = 0.5  #: least Jaccard similarity of a pair
-    universe_bits: int = 20
     seed: int = 3
 
 
@@ -67,24 +76,33 @@ def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
     return got, out
 
 
+_LOW, _HIGH = 20, 12  #: bits of the place in a block, and of the block
+
+
 @lru_cache(maxsize=2)
-def permutations(bits: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """sigma, and the rows of pi: row s is pi at s, s+1, ..., s+k-1, circularly."""
+def permutations(k: int, seed: int) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """sigma (an odd factor and two shifts of 64 bits, of whose product the leading 32 are the place), the rows of
+    pi within a block (row s is pi at s, s+1, ..., s+k-1, circularly), and what a block adds to it."""
     rng = np.random.default_rng(seed)
-    size = 1 << bits
-    sigma, pi = rng.permutation(size), rng.permutation(size).astype(np.int32)
-    return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:k]]), k)
+    low = rng.permutation(1 << _LOW).astype(np.uint32) << np.uint32(_HIGH)
+    block = (rng.integers(0, 1 << _LOW, 1 << _HIGH, dtype=np.uint32) << np.uint32(_HIGH)) | np.arange(1 << _HIGH, dtype=np.uint32)
+    factor = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
+    return factor, np.lib.stride_tricks.sliding_window_view(np.concatenate([low, low[:k]]), k), block
 
 
 def signatures(x: np.ndarray, ptr: np.ndarray, p: Params) -> np.ndarray:
-    """The circulant signature of each set of shingles; without shingles all values are 2^bits."""
+    """The circulant signature of each set of shingles; without shingles all values are 2^32 - 1."""
     k = p.bands * p.rows
-    sigma, rows = permutations(p.universe_bits, k, p.seed)
-    place = sigma[(x & np.uint64((1 << p.universe_bits) - 1)).astype(np.int64)]
-    out = np.full((len(ptr) - 1, k), 1 << p.universe_bits, np.int32)
+    factor, rows, block = permutations(k, p.seed)
+    place = (W.mix(x * factor) >> np.uint64(32)).astype(np.int64)
+    low, add = place & ((1 << _LOW) - 1), block[place >> _LOW]
+    out = np.full((len(ptr) - 1, k), 0xFFFFFFFF, np.uint32)
     for d in np.flatnonzero(np.diff(ptr)):
-        for a in range(ptr[d], ptr[d + 1], 1 << 15):
-            np.minimum(out[d], rows[place[a : min(a + (1 << 15), ptr[d + 1])]].min(axis=0), out=out[d])
+        for a in range(ptr[d], ptr[d + 1], 1 << 12):
+            b = min(a + (1 << 12), ptr[d + 1])
+            got = rows[low[a:b]]
+            got ^= add[a:b, None]
+            np.minimum(out[d], got.min(axis=0), out=out[d])
     return out
 
 
@@ -96,19 +114,19 @@ def band_hashes(sig: np.ndarray, p: Params) -> np.ndarray:
     return h
 
 
-def buckets(docs: DataFrame, p: Params) -> DataFrame:
-    """(h, doc_id): the buckets of each document."""
+def banded(texts: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, t, bands): the buckets of each row of `texts` (doc_id, text, t); none without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, buf, off in W.text_slices(b.column(1)):
                 x, ptr = shingles(buf, off, p.shingle)
                 some = np.diff(ptr) > 0
                 h = band_hashes(signatures(x, ptr, p)[some], p)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(ids[i:j][some], p.bands))], ["h", "doc_id"])
+                out = np.concatenate([[0], np.cumsum(some * p.bands)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), W.int_lists(h.ravel().view(np.int64), out, pa.int64())], ["doc_id", "t", "bands"])
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint")
+    return texts.mapInArrow(run, "doc_id bigint, t string, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
@@ -126,45 +144,65 @@ def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    """The pairs (a, b), all different, whose exact Jaccard similarity reaches the threshold. A hub a with many partners meets them in blocks."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    pairs = pairs.join(blocks, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("block"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    hubs = pairs.select("a", "block").distinct()
+    left = hubs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     fits = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * p.threshold
-    found = pairs.join(right, "b").join(left, "a").filter(fits)
-    return found.filter(both >= (F.size("sa") + F.size("sb") - both) * p.threshold).select("a", "b").distinct()
+    found = pairs.join(right, "b").join(left, ["a", "block"]).filter(fits)
+    return found.filter(both >= (F.size("sa") + F.size("sb") - both) * p.threshold).select("a", "b")
+
+
+def cross_pairs(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of `members` (h, doc_id) in one bucket and in different components of which one at least is
+    not the commonest of the bucket; `label` (v, m) gives the components."""
+    joined = members.join(label, members.doc_id == label.v, "left").select("h", "doc_id", F.coalesce("m", "doc_id").alias("c"))
+    sizes = joined.groupBy("h", "c").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("h").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1").select("h", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    split = materialized(joined.join(split, "h"), "split-buckets")
+    own, each = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = split.filter("c <> most").select("h", own.alias("i"), each.alias("j"), F.col("doc_id").alias("x"), F.col("c").alias("cx"))
+    y = split.select("h", each.alias("i"), own.alias("j"), F.col("doc_id").alias("y"), F.col("c").alias("cy"))
+    return x.join(y, ["h", "i", "j"]).filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, group_id, keep) of all documents in groups of two or more: see the module."""
     p = params
     slim = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    w = Window.partitionBy("h")
-    members = buckets(slim, p).select("h", "doc_id", F.min("doc_id").over(w).alias("least"), F.max("doc_id").over(w).alias("most")).filter("least < most").select("h", "doc_id", "least")
-    members = materialized(members, "buckets")
-    some = members.select("doc_id").distinct()
-    sets = materialized(shingle_sets(slim.join(some, "doc_id", "left_semi"), p), "shingles")
+    slim = slim.withColumn("t", F.md5("text"))
+    classes = banded(slim.select("doc_id", "text", "t"), p).filter("size(bands) > 0").groupBy("t").agg(F.min(F.struct("doc_id", "bands")).alias("x"), F.max("doc_id").alias("hi"))
+    classes = materialized(classes.select("t", F.col("x.doc_id").alias("rep"), "hi", F.col("x.bands").alias("bands")), "classes")
+    inside = classes.select(F.explode(F.array_distinct("bands")).alias("h"), F.col("rep").alias("doc_id"))
+    shared = inside.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "least")
+    members = materialized(inside.join(shared, "h").distinct(), "buckets")
+    some = members.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "t"), "doc_id")  # an id with several texts may stand for several classes
+    sets = materialized(shingle_sets(slim.join(some, ["doc_id", "t"], "left_semi").select("doc_id", "text"), p).distinct(), "shingles")
     stars = materialized(members.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    edges = materialized(verified(stars, sets, p), "verified")
+    # an id with several texts ties their classes
+    ties = slim.select("doc_id", "t").join(classes.select("t", "rep"), "t").groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1").select(F.col("doc_id").alias("a"), F.explode("reps").alias("b")).filter("a <> b")
+    edges = materialized(verified(stars, sets, p).distinct().union(ties), "verified")
     label = components(edges)
-    joined = members.join(label, members.doc_id == label.v, "left").select("h", "doc_id", F.coalesce("m", "doc_id").alias("c"))
-    split = joined.select("h", "doc_id", "c", F.min("c").over(w).alias("lo"), F.max("c").over(w).alias("hi")).filter("lo < hi").select("h", "doc_id", "c")
-    split = materialized(split, "split-buckets")
-    x, y = split.toDF("h", "a", "ca"), split.toDF("h", "b", "cb")
-    rest = x.join(y, "h").filter("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialized(verified(rest, sets, p), "verified")
+    rest = cross_pairs(members.select("h", "doc_id"), label).join(stars, ["a", "b"], "left_anti")
+    more = materialized(verified(rest, sets, p).distinct(), "verified")
     if not more.isEmpty():
         label = components(edges.union(more))
-    rows = label.select(F.col("v").alias("doc_id"), F.col("m").alias("group_id"))
-    heads = label.select(F.col("m").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("group_id"))
-    return rows.union(heads).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    heads = label.select(F.col("m").alias("head")).distinct()
+    known = classes.select("t", "rep", "hi").join(label, classes.rep == label.v, "left").join(heads, F.col("rep") == F.col("head"), "left")
+    known = known.filter("rep < hi OR m IS NOT NULL OR head IS NOT NULL").select("t", F.coalesce("m", "rep").alias("group_id"))
+    found = slim.select("doc_id", "t").join(known, "t").select("doc_id", "group_id").distinct()
+    return found.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of `docs` without the near copies: of each group the document with the least id stays,
     and of rows with equal id and text one. Rows without an id or a text stay."""
-    drop = groups(docs, params).filter("NOT keep").select(F.col("doc_id").alias("__dropped"))
-    left = docs.join(drop, docs["doc_id"].cast("bigint") == F.col("__dropped"), "left_anti")
-    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    marked = left.withColumn("__copy", copy).filter("__copy = 1 OR text IS NULL OR doc_id IS NULL")
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns])
+    drop = groups(docs, params).filter("NOT keep").select(F.col("doc_id").alias("dropped"))
+    row = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so no name can clash
+    left = row.join(drop, F.col("id") == F.col("dropped"), "left_anti")
+    copy = F.row_number().over(Window.partitionBy("id", F.xxhash64("row.text")).orderBy(F.lit(1)))
+    marked = left.withColumn("copy", copy).filter("copy = 1 OR row.text IS NULL OR id IS NULL")
+    return marked.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -49,7 +49,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", F.round("position", 9).alias("position"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "epoch", F.round("position", 9).alias("position"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,30 +70,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-#: Positions as in loomtext.llm.mixing, over a relation `docs`.
+#: Positions as in loomtext.llm.mixing, with its own schedule, over a relation `docs`.
 MIXING_SQL = r"""
     tok AS (
       SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')) AS tokens, substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS h FROM docs WHERE doc_id IS NOT NULL
     ), per AS (
-      SELECT source, sum(tokens)::BIGINT AS supply FROM tok GROUP BY source HAVING sum(tokens) > 0
+      SELECT source, sum(tokens)::DOUBLE AS supply FROM tok GROUP BY source
+    ), tot AS (
+      SELECT sum(supply) AS total, count(*)::DOUBLE AS sources FROM per WHERE supply > 0
     ), sh AS (
-      SELECT source, supply, supply::DOUBLE / (SELECT sum(supply) FROM per)::DOUBLE AS share, (SELECT count(*) FROM per)::DOUBLE AS sources FROM per
-    ), bud AS (
-      SELECT *, supply::DOUBLE / (share + 0.2::DOUBLE * (1.0::DOUBLE / sources - share) / 2.0::DOUBLE) AS lim FROM sh
+      SELECT source, supply, total, CASE WHEN supply > 0 THEN supply / total + 0.2::DOUBLE * (1.0::DOUBLE / sources - supply / total) ELSE 0.0::DOUBLE END AS w0, supply / total AS w1 FROM per, tot
+    ), ep AS (
+      SELECT *, (w0 + w1) / 2.0::DOUBLE AS d1, CASE WHEN supply > 0 THEN greatest(least(total * ((w0 + w1) / 2.0::DOUBLE) / supply, 4.0::DOUBLE), 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS epochs FROM sh
     ), cum AS (
-      SELECT t.*, share, sources, (SELECT min(lim) FROM bud) AS budget,
+      SELECT t.*, supply, w0, w1, d1, epochs,
         coalesce(sum(tokens) OVER (PARTITION BY t.source ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
-      FROM tok t JOIN bud ON t.source IS NOT DISTINCT FROM bud.source
+      FROM tok t JOIN ep ON t.source IS NOT DISTINCT FROM ep.source
+    ), passes AS (
+      SELECT *, unnest(range(0, greatest(ceil(epochs)::INT, 1)))::INT AS epoch FROM cum
     ), mid AS (
-      SELECT *, (ahead::DOUBLE + tokens::DOUBLE / 2.0::DOUBLE) / budget AS middle, 0.2::DOUBLE * (1.0::DOUBLE / sources - share) AS lift
-      FROM cum WHERE (ahead + tokens)::DOUBLE / budget <= (share + 0.2::DOUBLE * (1.0::DOUBLE / sources - share) / 2.0::DOUBLE) * (1.0::DOUBLE + 1e-9::DOUBLE)
+      SELECT *, CASE WHEN supply > 0 THEN (epoch + (ahead::DOUBLE + tokens::DOUBLE / 2.0::DOUBLE) / supply) / epochs * d1 ELSE 0.0::DOUBLE END AS y
+      FROM passes WHERE supply = 0 OR epoch + (ahead + tokens)::DOUBLE / supply <= epochs * (1.0::DOUBLE + 1e-9::DOUBLE)
     ), mixed AS (
-      SELECT *, 2.0::DOUBLE * middle / ((share + lift) + sqrt(greatest((share + lift) * (share + lift) - 2.0::DOUBLE * lift * middle, 0.0::DOUBLE))) AS position FROM mid
+      SELECT *, CASE WHEN y > 0 THEN least(2.0::DOUBLE * y / (w0 + sqrt(greatest(w0 * w0 + 2.0::DOUBLE * (w1 - w0) * y, 0.0::DOUBLE))), 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS position FROM mid
     )"""
 
 ORACLE: dict[str, str] = {
     "op8_warc": "SELECT page_id, url, html, 'resource' AS type, strlen(html)::BIGINT AS content_length, true AS digest_ok, CAST(NULL AS VARCHAR) AS error FROM pages",
-    "op9_mixing": "WITH docs AS (SELECT * FROM documents), " + MIXING_SQL + " SELECT doc_id, text, lang, source, n_chars, round(position, 9) AS position FROM mixed",
+    "op9_mixing": "WITH docs AS (SELECT * FROM documents), " + MIXING_SQL + " SELECT doc_id, text, lang, source, n_chars, epoch, round(position, 9) AS position FROM mixed",
     "op1_suffix_repeats": r"""
         WITH w AS (
           SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL

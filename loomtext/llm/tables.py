@@ -28,13 +28,47 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders of `materialized` and others that this process has written and not removed.
+_written: set[str] = set()
+
+
+def remember(path: str) -> str:
+    _written.add(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    _written.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what `materialized` wrote for `df`, which must not be used any more."""
+    path = getattr(df, "_loomtext_path", None)
+    if path in _written:
+        _remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all intermediate tables of this process, once the results that read them are no longer
+    needed; returns how many there were."""
+    n = len(_written)
+    for path in list(_written):
+        _remove(spark, path)
+    return n
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: the lineage ends there, and
-    the files survive the loss of any executor."""
+    the files survive the loss of any executor. They stay until `discard` or `release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = remember(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomtext_path = path
+    return out
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -249,48 +249,103 @@ def test_warc(spark, tmp_path):
     assert ok == [0, 2] and any(r["error"] for r in rows[1:-1]) and rows[-1]["error"]
 
 
+def demand(knots, x):
+    """The integral up to x of the weight whose (t, weight) are given, by exact trapezoids."""
+    ts = sorted({0.0, 1.0, x, *(t for t, _ in knots if t < x)})
+    w = np.interp(ts, [t for t, _ in knots], [v for _, v in knots])
+    keep = [i for i, t in enumerate(ts) if t <= x]
+    return float(sum((w[i] + w[i + 1]) / 2 * (ts[i + 1] - ts[i]) for i in keep[:-1]))
+
+
+def check_positions(rows, got, knots, least, most):
+    """Each source's passes and places against its demand; knots: scaled to a sum of 1."""
+    supply = Counter()
+    for i, t, s in rows:
+        if i is not None:
+            supply[s] += len((t or "").split())
+    total = sum(supply.values())
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append((r["epoch"], r["position"], r["doc_id"], r["tokens"]))
+    for s, placed in by.items():
+        if not supply[s]:
+            assert all(p[:2] == (0, 0.0) for p in placed)
+            continue
+        whole = demand(knots[s], 1.0)
+        epochs = min(max(total * whole / supply[s], least), most)
+        placed.sort()
+        ahead, largest = 0, max(len((t or "").split()) for i, t, x in rows if x == s and i is not None)
+        for k, position, _, n in placed:
+            ahead = 0 if (k, position) == placed[0][:2] else ahead
+            x = (ahead + n / 2) / supply[s] / epochs
+            assert demand(knots[s], position) / whole == pytest.approx(x, abs=1e-6) if whole else position == 0
+            ahead += n
+        assert ahead / supply[s] <= epochs * (1 + 1e-9) and (ahead + largest) / supply[s] > epochs - 1e-6
+        assert [p[1] for p in placed] == sorted(p[1] for p in placed)
+
+
 def test_mixing(docs, rows, none):
     supply = Counter()
     for i, t, s in rows:
         if i is not None:
             supply[s] += len((t or "").split())
-    supply = {s: n for s, n in supply.items() if n}
-    total, k = sum(supply.values()), len(supply)
-    demand = lambda s, x: supply[s] / total * x + mixing.FLATTEN * (1 / k - supply[s] / total) * (x - x * x / 2)
-    budget = min(n / demand(s, 1) for s, n in supply.items())
+    some = {s: n for s, n in supply.items() if n}
+    total, k = sum(some.values()), len(some)
+    knots = {s: [(0.0, n / total + mixing.FLATTEN * (1 / k - n / total)), (1.0, n / total)] for s, n in some.items()}
     got = mixing.positions(docs).collect()
-    at = defaultdict(list)
-    for r in got:
-        at[r["source"]].append((r["position"], r["tokens"], r["doc_id"]))
-    for s, placed in at.items():
-        ahead = 0
-        for position, tokens, _ in sorted(placed):
-            assert demand(s, position) == pytest.approx((ahead + tokens / 2) / budget, abs=1e-9)
-            ahead += tokens
+    assert {r["doc_id"] for r in got} == {i for i, _, _ in rows if i is not None}  # none is left out
+    assert max(r["epoch"] for r in got) >= 1
+    check_positions(rows, got, knots, mixing.LEAST_EPOCHS, mixing.MOST_EPOCHS)
     mixed = mixing.mix(docs)
-    assert [c for c in mixed.columns if c != "position"] == [c for c in docs.columns if c != "position"] and mixed.count() == len(got)
+    assert mixed.columns == [c for c in docs.columns if c != "position"] + ["epoch", "position"] and mixed.count() == len(got)
     order = [r["position"] for r in mixed.collect()]
     assert order == sorted(order) and mixing.mix(none).count() == 0
 
 
+def test_mixing_schedules(spark, docs, rows):
+    """Weights with knots, a source that the schedule doesn't name, one that is asked for late only, and target weights kept to exactly."""
+    given = [("s0", 0.0, 5.0), ("s0", 0.4, 1.0), ("s0", 1.0, 0.0), ("s1", 0.5, 0.0), ("s1", 0.75, 3.0), ("unknown", 0.0, 2.0)]
+    supply = Counter()
+    for i, t, s in rows:
+        if i is not None:
+            supply[s] += len((t or "").split())
+    total = sum(supply.values())
+    grid = [0.0, 0.4, 0.5, 0.75, 1.0]
+    raw = {s: [n / total] * 5 for s, n in supply.items() if n}
+    for s in ("s0", "s1"):
+        raw[s] = list(np.interp(grid, [t for x, t, _ in given if x == s], [w for x, _, w in given if x == s]))
+    sums = np.sum(list(raw.values()), axis=0)
+    knots = {s: list(zip(grid, np.array(w) / sums, strict=True)) for s, w in raw.items()}
+    for least, most in ((1.0, 1.0), (0.0, 1e9), (1.0, 3.0)):
+        got = mixing.positions(docs, given, least_epochs=least, most_epochs=most).collect()
+        check_positions(rows, got, knots, least, most)
+    used = Counter()
+    for r in mixing.positions(docs, given, least_epochs=0.0, most_epochs=1e9).collect():
+        used[r["source"]] += r["tokens"]
+    for s in ("s0", "s1"):
+        assert used[s] / total == pytest.approx(demand(knots[s], 1.0), abs=0.02)
+    for bad in ([("a", 0.0, -1.0)], [("a", 1.5, 1.0)], [("a", 0.0, 1.0), ("a", 0.0, 2.0)], [("a", 0.0, float("nan"))]):
+        with pytest.raises(ValueError):
+            mixing.positions(docs, bad)
+    nothing = mixing.positions(docs, [(s, 0.0, 0.0) for s in supply], least_epochs=1.0, most_epochs=1.0)
+    assert {r["position"] for r in nothing.collect()} == {0.0}
+
+
 def test_mixing_whole(spark, tmp_path):
-    """A tiny source, one of no tokens and a null one don't cut the others."""
+    """A tiny source, one of no tokens and a null one don't cut the others; names of columns may be anything."""
     rng = np.random.default_rng(18)
     made = [(i, prose(rng, 50), f"s{i % 2}") for i in range(200)] + [(900, "one", "tiny"), (901, "", "blank"), (902, "two words", None)]
     d = frame(spark, made).drop("position").repartition(3)
-    assert mixing.positions(d, whole=True).count() == 203
-    at = {r["doc_id"]: r["position"] for r in mixing.mix(d, whole=True).collect()}
+    assert mixing.positions(d, least_epochs=1.0, most_epochs=1.0).count() == 203
+    clash = d.selectExpr("*", "1 AS __copy", "2 AS copy", "3 AS id", "4 AS row", "5 AS epoch", "6 AS ahead", "7 AS supply")
+    assert mixing.mix(clash).columns == [*d.columns, "__copy", "copy", "id", "row", "ahead", "supply", "epoch", "position"]
+    assert {(r["__copy"], r["copy"], r["id"], r["row"]) for r in mixing.mix(clash).collect()} == {(1, 2, 3, 4)}
+    counts = Counter(r["doc_id"] for r in mixing.mix(d).collect())
+    assert set(counts) == {i for i, _, _ in made} and counts[900] == 4 and counts[901] == 1
+    at = {r["doc_id"]: r["position"] for r in mixing.mix(d, least_epochs=1.0, most_epochs=1.0).collect()}
     assert set(at) == {i for i, _, _ in made} and list(at.values()) == sorted(at.values()) and 0 <= min(at.values()) and max(at.values()) <= 1
-    total, k = sum(len(t.split()) for _, t, _ in made), 4
-    for s in ("s0", "s1", "tiny", None):
-        own = sorted((at[i], len(t.split())) for i, t, x in made if x == s)
-        supply, ahead = sum(n for _, n in own), 0
-        demand = lambda x: supply / total * x + mixing.FLATTEN * (1 / k - supply / total) * (x - x * x / 2)  # noqa: B023, E731
-        for position, n in own:
-            assert demand(position) / demand(1) == pytest.approx((ahead + n / 2) / supply, abs=1e-9)
-            ahead += n
     assert corpus_pipeline.source_mixing(spark, d, str(tmp_path)).count() == 203
-    assert mixing.mix(d.limit(0), whole=True).count() == 0 and mixing.mix(d.filter("doc_id = 901"), whole=True).count() == 1
+    assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix(d.filter("doc_id = 901")).count() == 1
 
 
 def test_pipeline_order(spark, tmp_path):
@@ -299,7 +354,7 @@ def test_pipeline_order(spark, tmp_path):
     made = [(i, prose(rng, 400 if i % 3 else 20), "en", f"s{i % 3}", 1) for i in range(90)]
     spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    want = [r["doc_id"] for r in mixing.mix(corpus_pipeline.personal_data(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)), whole=True).collect()]
+    want = [r["doc_id"] for r in mixing.mix(corpus_pipeline.personal_data(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)), least_epochs=1.0, most_epochs=1.0).collect()]
     rows = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "position").collect()
     assert [r["doc_id"] for r in rows] == want and len(want) == 90
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
@@ -342,3 +397,69 @@ def test_pipeline(spark, docs, tmp_path):
     want = sorted((r["doc_id"], r["n_tokens"]) for r in bpe.encode(now).collect())
     assert sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def jaccard_groups(sets, threshold=0.5):
+    """doc_id -> least id of its group, by all pairs."""
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(len(x & y) >= threshold * len(x | y) for x in sets[a] for y in sets[b]):
+            ra, rb = sorted((root(a), root(b)))
+            up[rb] = ra
+    size = Counter(root(i) for i in sets)
+    return {i: root(i) for i in sets if size[root(i)] > 1}
+
+
+def shingle_set(t):
+    w = t.lower().split()
+    return {tuple(w[p : p + 3]) for p in range(max(1, len(w) - 2))}
+
+
+def test_near_duplicate_groups_against_all_pairs(spark, monkeypatch):
+    """A large group of exact copies, chains, an id with two texts that ties groups, and blocks of few members."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = np.random.default_rng(31)
+    hot = prose(rng, 60)
+    made = [(i, hot) for i in range(1000, 1040)] + [(i, hot + f" more{i}") for i in range(2000, 2012)]
+    chain = prose(rng, 60, 5000).split()
+    made += [(3000 + k, " ".join(chain[: 60 - 4 * k] + [f"x{k}y{j}" for j in range(4 * k)])) for k in range(8)]
+    lone = [prose(rng, 40, 9000) for _ in range(30)]
+    made += [(4000 + k, t) for k, t in enumerate(lone)]
+    made += [(10, lone[3]), (10, hot.upper()), (11, lone[7]), (11, lone[7])]
+    d = spark.createDataFrame(made, "doc_id bigint, text string").repartition(5)
+    sets = defaultdict(list)
+    for i, t in made:
+        sets[i].append(shingle_set(t))
+    want = jaccard_groups(sets)
+    got = {r["doc_id"]: r["group_id"] for r in neardup.groups(d).collect()}
+    assert got == want and want[1039] == 10 and want[4007] == 11
+    clash = d.selectExpr("*", "1 AS copy", "2 AS id", "3 AS row", "7 AS __copy")
+    kept = neardup.keep_one(clash)
+    assert kept.columns == clash.columns and {(r["copy"], r["id"], r["row"], r["__copy"]) for r in kept.collect()} == {(1, 2, 3, 7)}
+    left = Counter(r["doc_id"] for r in kept.collect())
+    assert set(left) == {i for i in sets if want.get(i, i) == i}
+
+
+def test_signatures_of_long_texts():
+    """Unrelated texts of any length share hardly a coordinate; coordinates estimate the similarity."""
+    rng = np.random.default_rng(32)
+    p = neardup.Params()
+    for n in (1000, 100_000, 1_000_000):
+        x = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = neardup.signatures(x, np.array([0, n, 2 * n]), p)
+        assert (a == b).mean() < 0.02
+    agree = []
+    for _ in range(40):
+        both, own = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64), rng.integers(0, 1 << 63, (2, 5000), dtype=np.uint64)
+        a, b = neardup.signatures(np.concatenate([both, own[0], both, own[1]]), np.array([0, 35_000, 70_000]), p)
+        agree.append((a == b).mean())
+    assert abs(np.mean(agree) - 0.75) < 0.03
+    values = neardup.permutations(160, 3)
+    low = np.arange(1 << 20)
+    assert len(np.unique(values[1][low, 7])) == 1 << 20 and len(np.unique(values[2] & 4095)) == 4096  # permutations
