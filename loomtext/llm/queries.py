@@ -102,17 +102,20 @@ ORACLE: dict[str, str] = {
         WITH w AS (
           SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
         ), win AS (
-          SELECT doc_id, p, array_to_string(ws[p + 1 : p + 50], ' ') AS s
+          SELECT DISTINCT doc_id, p, array_to_string(ws[p + 1 : p + 50], ' ') AS s
           FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS p FROM w)
+        ), many AS (
+          SELECT s, min(doc_id) < max(doc_id) AS across FROM win GROUP BY s HAVING count(*) > 1
         ), rep AS (
-          SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) = 1 AS lead
-          FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING min(doc_id) < max(doc_id))
+          SELECT doc_id, p, bool_or(lead) AS lead, bool_or(across) AS across FROM (
+            SELECT doc_id, p, across, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) = 1 AS lead FROM win JOIN many USING (s)
+          ) GROUP BY doc_id, p
         ), marked AS (
           SELECT *, CASE WHEN p > lag(p) OVER d + 50 OR lag(p) OVER d IS NULL THEN 1 ELSE 0 END AS new FROM rep WINDOW d AS (PARTITION BY doc_id ORDER BY p)
         ), island AS (
           SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked
         )
-        SELECT doc_id, min(p) AS word_start, max(p) + 50 AS word_end, count(*) AS windows, count(*) FILTER (lead) AS first_windows
+        SELECT doc_id, min(p) AS word_start, max(p) + 50 AS word_end, count(*) AS windows, count(*) FILTER (lead) AS first_windows, count(*) FILTER (across) AS cross_windows
         FROM island GROUP BY doc_id, g
     """,
     "op2_topk": r"""
