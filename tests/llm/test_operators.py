@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loomtext.llm import bpe, flac, langid, mixing, neardup, queries, suffixes, topk, toxicity, warc
+from loomtext.llm import bpe, flac, langid, mixing, neardup, queries, topk, warc
 from loomtext.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, word string, position string"
@@ -44,45 +44,6 @@ def none(spark):
     return frame(spark, [])
 
 
-def test_suffix_repeats(docs, rows, none):
-    length = 12
-    at = defaultdict(set)
-    for i, t, _ in rows:
-        if i is not None and t:
-            w = t.split()
-            for p in range(len(w) - length + 1):
-                at[tuple(w[p : p + length])].add((i, p))
-    hits = defaultdict(dict)
-    for places in at.values():
-        if len({i for i, _ in places}) > 1:
-            for i, p in places:
-                hits[i][p] = (i, p) == min(places)
-    want = set()
-    for i, ps in hits.items():
-        group = []
-        for p in [*sorted(ps), 1 << 40]:
-            if group and p > group[-1] + length:
-                want.add((i, group[0], group[-1] + length, len(group), sum(ps[q] for q in group)))
-                group = []
-            group.append(p)
-    assert want and {tuple(r) for r in suffixes.repeats(docs, length).collect()} == want
-    assert suffixes.repeats(none, length).count() == 0
-
-
-def test_merge_by_loser_trees():
-    rng = np.random.default_rng(2)
-    runs = []
-    for n in (500, 1, 300, 800):
-        k = np.unique(rng.integers(0, 6, (n, suffixes.SYMBOLS)).astype(np.uint64), axis=0)
-        lcp = np.array([0] + [int((a != b).argmax()) for a, b in itertools.pairwise(k)], np.uint8)
-        assert all((x == y).all() for x, y in zip(suffixes.decode_block(suffixes.encode_block(k, lcp, np.ones(len(k), np.int64), np.arange(len(k)), np.arange(len(k))))[:2], (k, lcp), strict=True))
-        runs.append((k, lcp))
-    order, prefix = suffixes.merge(runs, 16)
-    keys = np.concatenate([k for k, _ in runs])[order].tolist()
-    assert keys == sorted(keys)
-    assert all(p == (suffixes.SYMBOLS if a == b else next(i for i in range(suffixes.SYMBOLS) if a[i] != b[i])) for a, b, p in zip(keys, keys[1:], prefix[1:], strict=False))
-
-
 def test_top_k(spark, docs, rows, none):
     asked = [(1, rows[0][1]), (2, "w1 w2 W3 w3"), (3, None), (4, ""), (5, "nothing known")]
     q = spark.createDataFrame(asked, "item_id bigint, text string")
@@ -142,46 +103,6 @@ def test_components(spark):
     assert {tuple(r) for r in components(edges).collect()} == {(3, 2), (4, 2), (5, 2), (9, 8)}
 
 
-def test_toxicity(spark, none):
-    rng = np.random.default_rng(5)
-    bad = [f"vile{i}" for i in range(12)]
-    made, labels = [], []
-    for i in range(600):
-        w = prose(rng, 60).split()
-        if i % 6 == 0:
-            for _ in range(6):
-                w[int(rng.integers(60))] = bad[int(rng.integers(12))]
-        made.append((i, " ".join(w), "s"))
-        if i < 400:
-            labels.append((i, int(i % 6 == 0)))
-    d = frame(spark, [*made, (900, None, "s"), (901, "", "s"), (5, made[5][1], "s")])
-    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
-    lex = toxicity.train(d, lab)
-    got = [(r["doc_id"], r["toxic"]) for r in toxicity.score(d, lex).collect()]
-    assert len(got) == 603
-    wrong = [i for i, t in got if i < 900 and t != (i % 6 == 0)]
-    assert len(wrong) <= 6
-    assert not dict(got)[900] and not dict(got)[901]
-    kept = toxicity.without_toxic(d, lex)
-    assert kept.columns == d.columns and kept.count() == sum(not t for _, t in got)
-    assert toxicity.train(d, lab.limit(0)).words == () and toxicity.score(none, lex).count() == 0
-    assert toxicity.without_toxic(d, toxicity.train(none, lab)).count() == 603
-
-
-def test_toxicity_of_long_documents(spark):
-    """Chance hits that are far apart don't add up; a toxic passage in a long document counts."""
-    words = sorted((f"vile{i}" for i in range(12)), key=lambda w: toxicity.hash_words([w])[0])
-    lex = toxicity.Lexicon(tuple(words), toxicity.hash_words(words), np.full(12, 0.75), 2.0)
-    rng = np.random.default_rng(15)
-    far = " ".join(f"{prose(rng, 400)} vile{i % 12}" for i in range(50))
-    near = f"{prose(rng, 10_000)} vile1 {prose(rng, 60)} vile2 vile3 {prose(rng, 10_000)}"
-    wide = f"vile1 {prose(rng, 126)} vile2 vile3 {prose(rng, 127)} vile4"
-    d = frame(spark, [(1, far, "s"), (2, near, "s"), (3, wide, "s"), (4, "vile1 vile2", "s"), (5, "vile1 vile2 vile3", "s")])
-    got = {r["doc_id"]: (r["score"], r["hits"], r["toxic"]) for r in toxicity.score(d, lex).collect()}
-    assert got == {1: (0.75, 50, False), 2: (2.25, 3, True), 3: (1.5, 4, False), 4: (1.5, 2, False), 5: (2.25, 3, True)}
-    assert {r["doc_id"] for r in toxicity.without_toxic(d, lex).collect()} == {1, 3, 4}
-
-
 def test_flac(spark):
     rng = np.random.default_rng(6)
     made, want = [], {}
