@@ -2,8 +2,9 @@
 
 Finds every passage of at least `length` words (runs of non-blank characters) that stands at
 two or more places of the corpus, in different documents or in one. A suffix is the text from a word on; as in other work on exact
-substring deduplication only its first `length` words matter. It is the string of these words, joined by single blanks, and is
-sorted, exchanged and compared as a whole, as symbols of eight bytes: there is no limit to a common prefix, and equality is that of the text.
+substring deduplication only its first `length` words matter. It is sorted, exchanged and compared as the string of these words, joined by single blanks, as
+symbols of eight bytes: the first PREFIX bytes as text and, of a longer one, 128 bits of a fingerprint of all its words for the rest, on which equality of what is behind the
+prefix rests. (Exchanging the whole strings gives the same rows and was measured: it takes five times the input in the shuffle.)
 
 1. Suffixes that cannot repeat are left out, exactly, as distributed string sorting leaves out what no other string shares (duplicate detection by hashes, before strings are sent): two suffixes with the same words have the
    same minimizer (the k-word gram in them of least hash, the first of such) at the same place, so those whose minimizer stands
@@ -48,8 +49,9 @@ from loomtext.llm import words as W
 from loomtext.llm.tables import materialized, small_batches
 
 LENGTH = 50
-RUN_SUFFIXES = 250_000  #: suffixes in a run, and
-RUN_BYTES = 96 << 20  #: bytes of them; both bound a task's memory
+PREFIX = 64  #: bytes of a suffix that are exchanged as text
+WIDTH = PREFIX + 16
+RUN_SUFFIXES = 400_000  #: suffixes in a run; bounds a task's memory
 RANGE_SUFFIXES = 150_000  #: suffixes aimed at for a range of the merge
 RANGES = 200_000
 SAMPLE = 24  #: suffixes for each range that splitters are taken from, while ranges are few
@@ -135,6 +137,23 @@ def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return text, place
 
 
+def suffix_strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of WIDTH bytes, their sizes): the strings of the suffixes of `length` words that begin at the given words. No byte of the text is 0."""
+    text, place = joined_words(buf, starts, ends)
+    first = place[word]
+    size = place[word + length - 1] + (ends - starts)[word + length - 1] - first if len(word) else np.zeros(0, np.int64)
+    k = np.arange(PREFIX)
+    rows = np.zeros((len(word), WIDTH), np.uint8)
+    if len(word):
+        rows[:, :PREFIX] = np.where(k < size[:, None], text[np.minimum(first[:, None] + k, len(text) - 1)], np.uint8(0))
+        long = size > PREFIX
+        for t in range(2):
+            mark = gram_hashes(W.hash_ranges(buf, starts, ends, seed=7 + t), length)[word]
+            rows[:, PREFIX + 8 * t : PREFIX + 8 * t + 8] = np.where(long, mark, np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        size = np.where(long, WIDTH, size)
+    return rows, size
+
+
 def sort_strings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, symbols shared with the one before) of the strings text[start : start + size]; equal strings share all, that is size // 8 + 1."""
     view = W.loads(np.concatenate([text, np.zeros(8, np.uint8)])).view(">u8")
@@ -187,7 +206,7 @@ class Run:
 
     def clear(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n = self.bytes = self.text = 0
+        self.n = 0
 
     def add(self, ids: np.ndarray, texts: pa.Array, p: pa.Array, n: pa.Array) -> Iterator[None]:
         """Takes the suffixes at the given positions; gives way whenever the run is full."""
@@ -197,33 +216,26 @@ class Run:
             starts, ends, ptr = W.find_words(buf, off)
             if not len(starts):
                 continue
-            text, place = joined_words(buf, starts, ends)
-            last = place + (ends - starts)
             lo, hi = p_ptr[i], p_ptr[j]
             d = np.repeat(np.repeat(np.arange(j - i), np.diff(p_ptr[i : j + 1])), n_flat[lo:hi])
             at = expand(p_flat[lo:hi], n_flat[lo:hi])
             ok = at + self.length <= (ptr[1:] - ptr[:-1])[d]
             d, at = d[ok], at[ok]
             word = ptr[:-1][d] + at
-            size = last[word + self.length - 1] - place[word] if len(word) else np.zeros(0, np.int64)
-            done, total = 0, np.cumsum(size)
-            while done < len(word):
-                more = max(1, int(np.searchsorted(total, (total[done - 1] if done else 0) + RUN_BYTES - self.bytes, side="right")) - done)
-                more = min(more, len(word) - done, max(1, RUN_SUFFIXES - self.n))
-                z = slice(done, done + more)
-                # only the text that these suffixes need
-                a, b = int(place[word[z]].min()), int((place[word[z]] + size[z]).max())
-                self.parts.append((text[a:b], place[word[z]] - a + self.text, size[z], ids[i:j][d[z]], at[z]))
-                self.n, self.bytes, self.text, done = self.n + more, self.bytes + int(size[z].sum()), self.text + b - a, done + more
-                if self.n >= RUN_SUFFIXES or self.bytes >= RUN_BYTES or self.text >= RUN_BYTES:
+            for a in range(0, len(word), max(1, RUN_SUFFIXES // 2)):
+                z = slice(a, a + max(1, RUN_SUFFIXES // 2))
+                self.parts.append((*suffix_strings(buf, starts, ends, word[z], self.length), ids[i:j][d[z]], at[z]))
+                self.n += len(word[z])
+                if self.n >= RUN_SUFFIXES:
                     yield
 
     def blocks(self, splitters: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(range, front-coded block) of the sorted run; range -1: places that are known to be repeats."""
         if not self.n:
             return
-        text, start, size, ids, pos = (np.concatenate([x[i] for x in self.parts]) for i in range(5))
+        rows, size, ids, pos = (np.concatenate([x[i] for x in self.parts]) for i in range(4))
         self.clear()
+        text, start = rows.ravel(), WIDTH * np.arange(len(rows))
         order, shared = sort_strings(text, start, size)
         start, size, ids, pos = start[order], size[order], ids[order], pos[order]
         symbols = size // 8 + 1
@@ -544,7 +556,7 @@ def _splitters(slim: DataFrame, found: DataFrame, ranges: int, length: int, tota
                 text, place = joined_words(buf, starts, ends)
                 last = place + (ends - starts)
                 raw = text.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[place[w] : last[w + length - 1]] for w in word.tolist()], pa.binary())], ["k"])
+                yield pa.RecordBatch.from_arrays([pa.array([raw[place[w] : min(last[w + length - 1], place[w] + PREFIX)] for w in word.tolist()], pa.binary())], ["k"])
 
     ids = found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(max(1 << 15, int((1 << 30) * share)))).select("doc_id")
     docs = slim.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(max(1 << 15, int((1 << 30) * share)))).join(ids, "doc_id", "left_semi").select("text")

@@ -124,7 +124,6 @@ def test_hot_passage():
 
 def test_full_runs(monkeypatch):
     monkeypatch.setattr(suffixes, "RUN_SUFFIXES", 100)
-    monkeypatch.setattr(suffixes, "RUN_BYTES", 3000)
     rng = np.random.default_rng(4)
     rows = [(i, t) for i, t in corpus(rng) if i is not None and t and len(t) < 5000]
     ids = np.array([i for i, _ in rows])
@@ -136,7 +135,7 @@ def test_full_runs(monkeypatch):
             blocks.append((r, data)) if r >= 0 else aside.append(data)
 
     for _ in run.add(ids, pa.array([t for _, t in rows]), pa.array([[0]] * len(rows), pa.list_(pa.int32())), pa.array([[x] for x in n], pa.list_(pa.int32()))):
-        assert run.n <= 100
+        assert run.n <= 200
         out()
     out()
     found = [suffixes.decode_places(x) for x in aside] + [suffixes.merge_range([d for r, d in blocks if r == k]) for k in {r for r, _ in blocks}]
