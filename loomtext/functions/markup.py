@@ -79,7 +79,8 @@ class _Blocks(HTMLParser):
         if self.silent:
             return
         if tag == "title" and "title" in self.buf:
-            self.title = self.title or self.take("title") or None
+            text = self.take("title")  # a second title (in an inline image) must not keep the buffer open
+            self.title = self.title or text or None
         elif tag in _HEADS and self.level is not None:
             if text := self.take("head"):
                 self.emit(f"{'#' * self.level} {text}")

@@ -213,9 +213,9 @@ class Scanner:
             at = text.rfind("\n", start, start + limit) - start
             if at > 0 and safe(at):
                 return at
-        for m in _SENTENCE_END.finditer(text, start):
+        for m in _SENTENCE_END.finditer(text, start, min(self.size, start + limit + 1)):
             at = m.end() - start
-            if at > limit:
+            if at > limit:  # a longer run of white space ends there too
                 break
             if safe(at):
                 best = at
@@ -380,8 +380,11 @@ def sections(body: str) -> list[Part]:
         return []
     raw: list[tuple[int, str | None, int, int]] = []  # level, heading, content from, to
     hidden = fences(lines_of(body), len(body)) if "#" in body else []
+    fence = 0  # the first span that does not end before the heading
     for m in _HEADING.finditer(body):
-        if any(a <= m.start() < b for a, b in hidden):
+        while fence < len(hidden) and hidden[fence][1] <= m.start():
+            fence += 1
+        if fence < len(hidden) and hidden[fence][0] <= m.start():
             continue
         if raw:
             raw[-1] = (*raw[-1][:3], m.start())

@@ -110,3 +110,24 @@ def test_markup():
     for bad in ({"loomtext.x": 1}, {"a": float("nan")}, {1: 2}, {"a": object()}):
         with pytest.raises(MetadataError):
             normalized(bad)
+
+
+def test_second_title_of_a_page():
+    title, body = markup.html("<title>Page</title><svg><title>Picture</title></svg><p>after</p>")
+    assert title == "Page" and body == "after"
+
+
+def test_work_follows_the_length():
+    import time
+
+    def took(f, n):
+        began = time.perf_counter()
+        f(n)
+        return time.perf_counter() - began
+
+    fenced = lambda n: text.sections("# H\n```\nx\n```\n" * n)
+    plain = lambda n: text.size_pieces("word " * n, 1500)
+    for f, n in ((fenced, 1500), (plain, 60_000)):
+        f(n // 4)
+        assert took(f, 4 * n) < 8 * took(f, n) + 0.2  # squares would be 16 times
+    assert len(text.sections("# H\n```\n# no\n```\n" * 50)) == 50
