@@ -48,6 +48,29 @@ class TokenChunker:
         return text.token_pieces(content, self.max_tokens, self.overlap_tokens, self.counter)
 
 
+class ChunkError(ValueError):
+    """Stages of chunking in an order that cannot work."""
+
+
+@dataclass(frozen=True)
+class HeadingsOnly:
+    """Headings without a further chunker: sections, and no chunks."""
+
+    def pieces(self, content: str) -> list[text.Piece]:
+        return []
+
+
+def composed(stages: list[object]) -> object:
+    """The chunker of a list of stages, in which None stands for headings: these come first, once, and one that cuts sections comes after them."""
+    if not stages or stages[0] is not None:
+        raise ChunkError("a chunker that cuts sections needs sections: headings come first")
+    if any(s is None for s in stages[1:]):
+        raise ChunkError("there are sections already: headings come once")
+    if len(stages) > 2:
+        raise ChunkError("there are chunks already: one chunker cuts sections")
+    return stages[1] if len(stages) == 2 else HeadingsOnly()
+
+
 def _sections(body: pa.Array) -> pa.Array:
     return pa.array([[(s.index, s.heading, s.level, s.anchor, s.parent, s.path, s.lineage, s.content) for s in text.sections(b or "")] for b in body.to_pylist()], _SECTION_TYPE)
 

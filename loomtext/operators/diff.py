@@ -29,6 +29,42 @@ def summary(section_deltas: DataFrame, chunk_deltas: DataFrame) -> DataFrame:
     return both.groupBy("source_uri").agg(*[F.count_if((F.col("of") == of) & (F.col("status") == s)).alias(f"{of}_{s}") for of in ("sections", "chunks") for s in STATUSES])
 
 
+def changed(sums: DataFrame) -> DataFrame:
+    """`sums` of `summary` with a column changed: whether anything was added, removed or modified."""
+    some = [F.col(f"{of}_{s}") for of in ("sections", "chunks") for s in STATUSES if s != "unchanged"]
+    return sums.withColumn("changed", sum(some[1:], some[0]) > 0)
+
+
+def changed_counts(sums: DataFrame) -> DataFrame:
+    """(changed, unchanged): numbers of documents."""
+    return changed(sums).agg(F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"))
+
+
+def revision_diff(previous: DataFrame | None, current: DataFrame, previous_documents: DataFrame | None, current_documents: DataFrame, of: str) -> DataFrame:
+    """`deltas` of the sources in `current_documents`, with the checksums of both revisions (an empty one where there was none);
+    of: sections or chunks, for the column of that name. Without a previous snapshot everything is added."""
+    if previous is None or previous_documents is None:
+        previous, previous_documents = current.limit(0), current_documents.limit(0)
+    old = previous_documents.select("source_uri", F.col("source_checksum").alias("previous_revision"))
+    now = current_documents.select("source_uri", F.col("source_checksum").alias("current_revision"))
+    found = deltas(previous, current).join(now, "source_uri").join(old, "source_uri", "left")
+    return found.select("source_uri", F.coalesce("previous_revision", F.lit("")).alias("previous_revision"), "current_revision", F.lit(of).alias("of"), "anchor", "status", "previous_hash", "current_hash")
+
+
+def compare_one(previous: DataFrame | None, current: DataFrame) -> None:
+    """Raises ValueError unless both (documents) have exactly one row and the same source."""
+    uris = []
+    for name, docs in (("previous", previous), ("current", current)):
+        if docs is None:
+            continue
+        rows = docs.select("source_uri").limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"the {name} snapshot must have exactly one document")
+        uris.append(rows[0][0])
+    if len(set(uris)) > 1:
+        raise ValueError("both snapshots must be of one source")
+
+
 def in_order(found: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
     return found.orderBy("source_uri", rank, "anchor")

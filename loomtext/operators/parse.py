@@ -46,11 +46,17 @@ def _parse(raw: pa.Array, kind: pa.Array, meta: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([(n, pa.string()) for n in ("title", "frontmatter", "body", "error")]))
 
 
-def parse(sources: DataFrame) -> DataFrame:
-    """One row for each source, with document_id, title, body, frontmatter and error."""
+def parse(sources: DataFrame, only: str | None = None) -> DataFrame:
+    """One row for each source, with document_id, title, body, frontmatter and error. only: parse all as this media type."""
+    if "load_error" not in sources.columns:
+        sources = sources.withColumn("load_error", F.lit(None).cast("string"))
+    if only is not None:
+        sources = sources.withColumn("media_type", F.lit(only))
     p = sources.withColumn("__p", F.arrow_udf(_parse, _PARSED)("raw_text", "media_type", "source_metadata"))
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("media_type")]
-    return p.select(ids.document_id(F.col("source_uri")).alias("document_id"), "source_uri", F.coalesce("__p.title", ids.stem(F.col("source_uri"))).alias("title"), F.col("checksum").alias("source_checksum"), kind.alias("source_type"), F.col("__p.frontmatter").alias("frontmatter"), "source_metadata", F.col("__p.body").alias("body"), F.lit(ids.IDENTITY_VERSION).alias("identity_version"), F.when(F.length(F.regexp_replace(F.coalesce("__p.body", F.lit("")), r"(?U)\s", "")) == 0, F.coalesce("__p.error", F.lit("blank body"))).otherwise(F.col("__p.error")).alias("error"))
+    blank = F.length(F.regexp_replace(F.coalesce("__p.body", F.lit("")), r"(?U)\s", "")) == 0
+    error = F.coalesce("load_error", "__p.error", F.when(blank, "blank body"))
+    return p.select(ids.document_id(F.col("source_uri")).alias("document_id"), "source_uri", F.coalesce("__p.title", ids.stem(F.col("source_uri"))).alias("title"), F.col("checksum").alias("source_checksum"), kind.alias("source_type"), F.col("__p.frontmatter").alias("frontmatter"), "source_metadata", F.col("__p.body").alias("body"), F.lit(ids.IDENTITY_VERSION).alias("identity_version"), error.alias("error"))
 
 
 def documents(parsed: DataFrame) -> DataFrame:

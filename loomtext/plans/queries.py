@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import ids
 from loomtext.operators import chunks as C
+from loomtext.operators import counters as text
 from loomtext.operators import diff, evaluation, export, parse, scope
-from loomtext.sources.files import table_sources
+from loomtext.plans.ingest import ingest
+from loomtext.sources.files import read_files, table_sources, write_files
+from loomtext.sources.shared import shared_dir
+from loomtext.sources.store import Store, with_previous
+from loomtext.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,7 +61,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, sf: str, chunker: C.SizeChunker | C.TokenChunker = C.SizeChunker()) -> DataFrame:
-    return C.chunks(docs(spark, sf), chunker, ("title", "source_metadata", "frontmatter"))
+    return C.chunks(docs(spark, sf), chunker, ("title", "source_metadata", "frontmatter", "source_type"))
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +73,18 @@ def talks(spark: SparkSession, sf: str) -> DataFrame:
     return parse.documents(parse.parse(table_sources(whole.withColumn("md", body), "concat('file:conversations/', cast(conv_id AS string), '.md')", "md", "text/markdown")))
 
 
+def snapshot(sources: DataFrame) -> Store:
+    """A new store, in the shared folder, of the given sources."""
+    spark = sources.sparkSession
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 8)
+    ingest(sources, store=store, prefixes=("file:",))
+    return store
+
+
+def stored(spark: SparkSession, sf: str) -> Store:
+    return snapshot(plain(spark, sf))
+
+
 # --- the same in SQL ---------------------------------------------------------------------------
 
 
@@ -128,7 +146,7 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS tokens FROM documents")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint").alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", text.counts("text").alias("tokens"))
 
 
 @query(f"SELECT {_U} AS source_uri FROM documents WHERE starts_with({_U}, 'file:' || (SELECT min(source) FROM documents) || '/')")
@@ -150,7 +168,7 @@ def upsert_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SRC}, {_OLD} SELECT s.uri AS source_uri FROM src s LEFT JOIN old o ON s.uri = o.uri AND s.text = o.text WHERE o.uri IS NULL")
 def checkpoint_skip(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(spark, sf).join(edited(spark, sf).select("source_uri", "checksum"), ["source_uri", "checksum"], "left_anti").select("source_uri")
+    return ingest(plain(spark, sf), done=edited(spark, sf)).snapshot.documents.select("source_uri")
 
 
 @query(_NOW + f" SELECT {_uuid(f'{_DOC} || {chr(39)}:chunk:__root__:chunk_{chr(39)} || i')} AS chunk_id, uri AS source_uri, i::INT AS section_chunk_index, substr(sha256(content), 1, 16) AS content_hash, length(content)::INT AS chars FROM cut")
@@ -166,12 +184,12 @@ def size_chunks(spark: SparkSession, sf: str) -> DataFrame:
 )
 def vector_records_v1(spark: SparkSession, sf: str) -> DataFrame:
     r = export.records(chunk_rows(spark, sf), CREATED)
-    return r.withColumn("section_path", F.array_join("section_path", " > ")).withColumn("user_lang", F.col("user_metadata")["lang"]).drop("user_metadata")
+    return r.withColumn("section_path", F.array_join("section_path", " > ")).withColumn("user_lang", F.get_json_object("user_metadata", "$.lang")).drop("user_metadata")
 
 
-@query(_cut_sql("SELECT uri, text FROM src") + " SELECT count(*) AS total_chunks, round(avg(length(content)), 6) AS avg_chunk_chars, min(length(content))::BIGINT AS min_chunk_chars, max(length(content))::BIGINT AS max_chunk_chars, count(*) AS orphan_chunk_count, 1.0::DOUBLE AS orphan_chunk_rate FROM cut")
+@query(_cut_sql("SELECT uri, text FROM src") + " SELECT count(*) AS total_chunks, round(avg(length(content)), 6) AS avg_chunk_chars, (sum(len(regexp_extract_all(content, '\\S+'))) // count(*))::BIGINT AS avg_chunk_tokens, min(length(content))::BIGINT AS min_chunk_chars, max(length(content))::BIGINT AS max_chunk_chars, count(*) AS orphan_chunk_count, 1.0::DOUBLE AS orphan_chunk_rate FROM cut")
 def chunking_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.chunking_metrics(chunk_rows(spark, sf)).withColumn("avg_chunk_chars", F.round("avg_chunk_chars", 6))
+    return evaluation.chunking_metrics(chunk_rows(spark, sf), text.counts("content_text")).withColumn("avg_chunk_chars", F.round("avg_chunk_chars", 6))
 
 
 _FOLD = "replace(lower({0}), 'ß', 'ss')"
@@ -239,20 +257,19 @@ def prune_revisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS document_id, l_linenumber AS revision_number, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS previous FROM lineitem")
 def current_previous_revision(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("revision_number")
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("revision_number")).withColumn("previous", F.lag("revision_number").over(w))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("revision_number"))
+    return with_previous(rows, "revision_number").withColumnRenamed("previous_revision_number", "previous")
 
 
 @query(f"WITH {_SRC} SELECT uri AS source_uri, {_DOC} AS document_id FROM src ORDER BY uri LIMIT 50 OFFSET 100")
 def list_documents_page(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("source_uri", "document_id").orderBy("source_uri").offset(100).limit(50)
+    return stored(spark, sf).page("documents", 100, 50)[0].select("source_uri", "document_id")
 
 
 @query(_NOW + " SELECT (SELECT count(*) FROM src) AS documents, (SELECT count(*) FROM src) AS sections, count(*) AS chunks FROM cut")
 def store_stats(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf)
-    count = lambda df, n: df.agg(F.count("*").alias(n))
-    return count(d, "documents").crossJoin(count(C.sections(d), "sections")).crossJoin(count(C.chunks(d), "chunks"))
+    s = stored(spark, sf).stats()
+    return spark.createDataFrame([tuple(s.values())], "documents bigint, sections bigint, chunks bigint")
 
 
 @query(r"SELECT url AS source_uri, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&amp;', '&')) AS title FROM pages WHERE html LIKE '%<title>%'")
@@ -279,3 +296,108 @@ def size_chunks_overlap(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def structure_types(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunks(docs(spark, sf)).select("chunk_id", F.explode("structure_types").alias("structure_type"))
+
+
+# --- through the store -----------------------------------------------------------------------------
+
+_STORED = f"WITH {_SRC}, {_OLD}, prev AS (SELECT * FROM old WHERE regexp_matches(text, '\\S'))"
+
+
+@query(_STORED + " SELECT coalesce(s.uri, p.uri) AS source_uri, CASE WHEN p.uri IS NULL THEN 'inserted' WHEN s.uri IS NULL THEN 'kept' WHEN p.text = s.text THEN 'skipped' ELSE 'updated' END AS action, sha256(coalesce(s.text, p.text)) AS source_checksum, CASE WHEN p.uri IS NOT NULL AND s.uri IS NOT NULL AND p.text <> s.text THEN 2 ELSE 1 END AS revisions FROM src s FULL JOIN prev p ON s.uri = p.uri")
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The earlier snapshot, then the present one over it: what was done, and what is stored now."""
+    store = snapshot(edited(spark, sf))
+    done = ingest(plain(spark, sf), store=store, prefixes=("file:",)).actions
+    revisions = store.table("revisions").groupBy("source_uri").agg(F.max("revision_number").alias("revisions"))
+    return store.table("documents").select("source_uri", "source_checksum").join(done, "source_uri", "left").join(revisions, "source_uri").select("source_uri", F.coalesce("action", F.lit("kept")).alias("action"), "source_checksum", "revisions")
+
+
+@query(_STORED + " SELECT coalesce(s.uri, p.uri) AS source_uri, CASE WHEN p.uri IS NULL THEN 'inserted' WHEN s.uri IS NULL THEN 'deleted' WHEN p.text = s.text THEN 'skipped' ELSE 'updated' END AS action, s.uri IS NOT NULL AS is_stored FROM src s FULL JOIN prev p ON s.uri = p.uri")
+def store_sync(spark: SparkSession, sf: str) -> DataFrame:
+    store, now = snapshot(edited(spark, sf)), ingest(plain(spark, sf)).snapshot
+    plan = store.sync(now, "dry", CREATED, ("file:",), dry_run=True).actions
+    done = store.sync(now, "run", CREATED, ("file:",))
+    there = store.table("documents").select("source_uri", F.lit(True).alias("there"))
+    return plan.join(done.actions, ["source_uri", "action"]).join(there, "source_uri", "left").select("source_uri", "action", F.coalesce("there", F.lit(False)).alias("is_stored"))
+
+
+@query(_NOW + f", first AS (SELECT min(source) AS s FROM documents) SELECT uri AS source_uri, count(*)::INT AS chunks, string_agg(substr(sha256(content), 1, 16), ' ' ORDER BY i) AS hashes FROM cut, first WHERE starts_with(uri, 'file:' || s || '/') GROUP BY uri")
+def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by URI, with their children in order."""
+    store = stored(spark, sf)
+    first = table(spark, sf, "documents").agg(F.min("source")).first()[0]
+    found = store.with_children(store.documents_by_uris(store.uris_in_scope((f"file:{first}/",))))
+    return found.select("source_uri", F.size("chunks").alias("chunks"), F.array_join(F.transform("chunks", lambda c: c["content_hash"]), " ").alias("hashes"))
+
+
+@query(_STORED + " SELECT uri AS source_uri, sha256(text) AS source_checksum, 2::INT AS revision_number, false AS was_current FROM src s JOIN prev p USING (uri) WHERE s.text <> p.text".replace("sha256(text)", "sha256(s.text)"))
+def revision_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    store = snapshot(edited(spark, sf))
+    ingest(plain(spark, sf), store=store)
+    r = store.table("revisions")
+    now = r.filter("is_current AND revision_number > 1").select("source_uri", "source_checksum", "revision_number")
+    return now.join(r.filter("revision_number = 1").select("source_uri", F.col("is_current").alias("was_current")), "source_uri")
+
+
+@query(_NOW + f", first AS (SELECT min(source) AS s FROM documents), gone AS (SELECT uri FROM src, first WHERE starts_with(uri, 'file:' || s || '/')) SELECT (SELECT count(*) FROM gone) AS documents, (SELECT count(*) FROM gone) AS sections, (SELECT count(*) FROM cut WHERE uri IN (SELECT uri FROM gone)) AS chunks, (SELECT count(*) FROM gone) AS revisions, (SELECT count(*) FROM src WHERE uri NOT IN (SELECT uri FROM gone)) AS documents_left")
+def delete_by_prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
+    store = stored(spark, sf)
+    first = table(spark, sf, "documents").agg(F.min("source")).first()[0]
+    counts = store.delete_prefix(f"file:{first}/")
+    return spark.createDataFrame([(*counts.values(), store.stats()["documents"])], "documents bigint, sections bigint, chunks bigint, revisions bigint, documents_left bigint")
+
+
+@query("SELECT 'file:' || source || '/_' || doc_id || '[1].txt' AS source_uri, sha256(text) AS checksum, 'text/plain' AS media_type FROM documents")
+def files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as files, with names that Hadoop would hide or take for patterns, and read as sources."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    where = folder.removeprefix("file://").removeprefix("file:")
+    write_files(table(spark, sf, "documents").select(F.concat("source", F.lit("/_"), "doc_id", F.lit("[1].txt")), "text"), where).agg(F.sum("files")).first()
+    return read_files(spark, where).select("source_uri", "checksum", "media_type")
+
+
+# --- forms of records, and more of the differences -----------------------------------------------
+
+_TITLE = r"trim(regexp_extract(text, '^\s*([^\n]*)', 1), E' \t\r')"
+_CHUNK = f"{_uuid(f'{_DOC} || {chr(39)}:chunk:__root__:chunk_{chr(39)} || i')}"
+
+
+def _prepended(strategy: str) -> Callable[[SparkSession, str], DataFrame]:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return export.records(chunk_rows(spark, sf), CREATED, strategy).select("id", "text")
+
+    f.__name__ = f"text_prepend_{strategy}"
+    return f
+
+
+for _s in export.STRATEGIES:
+    _sql_text = "content" if _s in ("none", "heading_path") else f"{_TITLE} || E'\n\n' || content"  # the root section has no path
+    query(_NOW + f" SELECT {_CHUNK} AS id, {_sql_text} AS text FROM cut JOIN src USING (uri)")(_prepended(_s))
+
+
+@query(_NOW + rf""" SELECT {_CHUNK} AS id, lang, '{{"lang": "' || lang || '", "loomtext.document_id": "' || {_DOC} || '", "loomtext.source_uri": "' || uri || '", "loomtext.source_type": "plaintext", "loomtext.section_id": "' || {_uuid(f"{_DOC} || ':section:__root__'")} || '", "loomtext.heading_path": [], "loomtext.lineage": [], "loomtext.chunk_anchor": "__root__:chunk_' || i || '", "loomtext.chunk_order_index": ' || i || ', "loomtext.section_chunk_index": ' || i || ', "loomtext.schema_version": 1}}' AS metadata FROM cut JOIN src USING (uri)""")
+def legacy_vector_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return export.legacy_records(chunk_rows(spark, sf)).select("id", F.get_json_object("metadata", "$.lang").alias("lang"), "metadata")
+
+
+@query(_BOTH + f" SELECT {_uuid(_uuid('source_uri') + chr(124) * 2 + chr(39) + ':chunk:' + chr(39) + chr(124) * 2 + 'anchor')} AS id FROM delta WHERE status = 'removed'")
+def deleted_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.export_delta(_chunk_deltas(spark, sf), export.records(chunk_rows(spark, sf), CREATED)).filter("op = 'deleted'").select("id")
+
+
+@query(_BOTH + ", d AS (SELECT source_uri, bool_or(status <> 'unchanged') AS c FROM delta GROUP BY source_uri) SELECT count(*) FILTER (c) AS changed, count(*) FILTER (NOT c) AS unchanged FROM d")
+def changed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.changed_counts(QUERIES["diff_summary"](spark, sf))
+
+
+@query(_STORED + " SELECT s.uri AS source_uri, coalesce(sha256(p.text), '') AS previous_revision, sha256(s.text) AS current_revision, CASE WHEN p.uri IS NULL THEN 'added' WHEN trim(p.text, E' \\n\\t\\r') = trim(s.text, E' \\n\\t\\r') THEN 'unchanged' ELSE 'modified' END AS status FROM src s LEFT JOIN prev p USING (uri)".replace("SELECT s.uri", "SELECT uri"))
+def section_diff(spark: SparkSession, sf: str) -> DataFrame:
+    old, now = parse.documents(parse.parse(edited(spark, sf))), docs(spark, sf)
+    return diff.revision_diff(C.sections(old), C.sections(now), old, now, "sections").select("source_uri", "previous_revision", "current_revision", "status")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS k, round(max(l_quantity), 3) AS q FROM lineitem GROUP BY l_orderkey")
+def latest_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Of several versions of a source in a stream's batch the last counts: order lines stand for versions, their quantity for the time."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_uri"), F.col("l_quantity").alias("q"), F.col("l_linenumber").cast("string").alias("checksum"))
+    return changes.latest(rows, "q").select(F.col("source_uri").alias("k"), F.round("q", 3).alias("q"))

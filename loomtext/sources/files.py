@@ -1,22 +1,25 @@
 """Files as sources: listing on the driver, reading on the executors.
 
 The listing follows rules that Hadoop's globs do not have (hidden parts, symbolic links, exclusion),
-so paths are found on the driver; contents are read by Spark's binaryFile source and decoded in the
-JVM where that gives the same result."""
+so paths are found on the driver. Contents are read on the executors, each path as it is named: Spark's own file sources
+would take brackets in it for a pattern, and leave out files whose names begin with an underscore or a full stop. A file
+that cannot be read or decoded is a row with a load_error, which parsing reports as the error of its source."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import ids
 
 MEDIA_TYPES = {".md": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".rst": "text/x-rst"}
-SOURCES = "source_path string, source_uri string, raw_text string, checksum string, media_type string, source_metadata string"
+SOURCES = "source_path string, source_uri string, raw_text string, checksum string, media_type string, source_metadata string, load_error string"
+FILES_IN_A_TASK = 200
 
 
 class LoadError(Exception):
@@ -31,9 +34,10 @@ class FileRules:
     symlinks: str = "follow"  #: or skip
     encoding: str = "utf-8"
     errors: str = "strict"  #: or replace, ignore
+    unknown: str | None = None  #: media type of files with another suffix, which are refused without it
 
 
-MARKDOWN_RULES = FileRules(include=("**/*.md",), hidden="include")
+MARKDOWN_RULES = FileRules(include=("**/*.md",), hidden="include", unknown="text/markdown")
 
 
 def list_files(source: str | Path, rules: FileRules = FileRules()) -> list[tuple[str, str]]:
@@ -61,23 +65,44 @@ def list_files(source: str | Path, rules: FileRules = FileRules()) -> list[tuple
 def read_files(spark: SparkSession, source: str | Path, rules: FileRules = FileRules()) -> DataFrame:
     """The sources (see SOURCES) below a folder."""
     found = list_files(source, rules)
-    if bad := [p for p, _ in found if Path(p).suffix.lower() not in MEDIA_TYPES]:
+    if rules.unknown is None and (bad := [p for p, _ in found if Path(p).suffix.lower() not in MEDIA_TYPES]):
         raise LoadError(f"unsupported suffix: {bad[0]}")
     if not found:
         return spark.createDataFrame([], SOURCES)
-    known = spark.createDataFrame(found, "source_path string, source_uri string")
-    raw = spark.read.format("binaryFile").load([f"file://{p}" for p, _ in found])
     encoding, errors = rules.encoding, rules.errors
 
-    @F.udf("string", useArrow=True)
-    def decode(content: bytes) -> str:
-        return content.decode(encoding, errors).replace("\r\n", "\n").replace("\r", "\n")
-
-    files = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("source_path"), decode("content").alias("raw_text"))
-    # Spark leaves empty files out; the listing has them
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, path in enumerate(b.column("source_path").to_pylist()):
+                text = error = None
+                try:
+                    text = Path(path).read_bytes().decode(encoding, errors).replace("\r\n", "\n").replace("\r", "\n")
+                except (OSError, UnicodeError, LookupError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                one = b.slice(i, 1)  # a text is handed on before the next is read
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([text], pa.string()), pa.array([error], pa.string())], [*one.schema.names, "raw_text", "load_error"])
+
+    known = spark.createDataFrame(found, "source_path string, source_uri string").repartition(max(1, -(-len(found) // FILES_IN_A_TASK)))
+    files = known.mapInArrow(read, "source_path string, source_uri string, raw_text string, load_error string")
     suffix = F.lower(F.regexp_extract("source_path", r"(\.[^./]*)$", 1))
     kinds = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
-    return known.join(files, "source_path", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit(""))).select("source_path", "source_uri", "raw_text", ids.checksum(F.col("raw_text")).alias("checksum"), kinds[suffix].alias("media_type"), F.lit("{}").alias("source_metadata"))
+    return files.select("source_path", "source_uri", "raw_text", ids.checksum(F.col("raw_text")).alias("checksum"), F.coalesce(kinds[suffix], F.lit(rules.unknown)).alias("media_type"), F.lit("{}").alias("source_metadata"), "load_error")
+
+
+def write_files(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes each row (path below the folder, text) as a file in UTF-8; returns how many each task wrote. A task that is repeated writes the same files again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                to = Path(folder) / path
+                to.parent.mkdir(parents=True, exist_ok=True)
+                to.write_bytes((text or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    return docs.toDF("path", "text").mapInArrow(write, "files bigint")
 
 
 def table_sources(docs: DataFrame, uri, text, media_type: str = "text/plain", metadata=None) -> DataFrame:  # noqa: ANN001

@@ -1,25 +1,34 @@
-"""A versioned store of Parquet tables: each write makes a new version and then moves one pointer.
+"""A versioned store of Parquet tables in buckets of sources.
 
-Readers see the version that the pointer names; a job that dies leaves the pointer alone, so a write
-is all or nothing. One writer at a time: a write fails if the pointer moved while it ran."""
+A version is one small file that names, for each table and bucket, the folder with its rows; it is created only if
+there is none of that number yet, so of two writers one fails and readers see a version as a whole. Rows are
+in the bucket of their source_uri: a write reads and replaces the buckets of the sources it touches and
+leaves all others alone, and one that changes nothing writes nothing. `expire` removes what old versions
+alone refer to."""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomtext.functions import ids
 from loomtext.operators.diff import revisions_to_prune
-from loomtext.operators.scope import stale, upsert_classes
+from loomtext.operators.scope import in_scope, stale, upsert_classes
 
-TABLES = ("documents", "sections", "chunks", "revisions", "runs")
-RUNS = "run_id string, prefixes array<string>, source_uris_seen bigint, timestamp string"
+TABLES = ("documents", "sections", "chunks", "revisions")
+RUNS = "run_id string, prefixes array<string>, timestamp string"
+SEEN = "run_id string, source_uri string"
+BUCKETS = 64
+LAYOUT = 2  #: 1 had one folder for a table
+_KEYS = {"documents": "document_id", "sections": "section_id", "chunks": "chunk_id"}
 
 
 class StoreError(Exception):
@@ -35,103 +44,265 @@ class Snapshot:
     chunks: DataFrame
 
 
+@dataclass(frozen=True)
+class SyncResult:
+    """(source_uri, action), and how many rows went with deleted sources."""
+
+    actions: DataFrame
+    deleted: dict[str, int]
+    dry_run: bool
+
+    def counts(self) -> dict[str, int]:
+        return {r["action"]: r["count"] for r in self.actions.groupBy("action").count().collect()}
+
+
 class Store:
-    def __init__(self, spark: SparkSession, where: str) -> None:
-        self.spark, self.where = spark, where
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.where, self.buckets = spark, path.rstrip("/"), buckets
+
+    # --- versions --------------------------------------------------------------------------
 
     @cached_property
     def _fs(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.where if "://" in self.where else f"file://{self.where}")
 
-    def _pointer(self) -> dict:
+    def _read(self, path: str) -> dict | None:
         system, root = self._fs
         try:
-            with system.open_input_stream(f"{root}/CURRENT.json") as f:
-                now = json.loads(f.read())
+            with system.open_input_stream(f"{root}/{path}") as f:
+                return json.loads(f.read())
         except FileNotFoundError:
-            return {"version": 0, "schema_version": ids.SCHEMA_VERSION, "tables": {}}
-        if now["schema_version"] != ids.SCHEMA_VERSION:
-            raise StoreError(f"schema version {now['schema_version']} instead of {ids.SCHEMA_VERSION}: migrate the store")
+            return None
+
+    def versions(self) -> list[int]:
+        system, root = self._fs
+        found = system.get_file_info(fs.FileSelector(f"{root}/versions", allow_not_found=True))
+        return sorted(int(x.base_name.removesuffix(".json")) for x in found if x.base_name.endswith(".json"))
+
+    def _version(self) -> dict:
+        known = self.versions()
+        if not known:
+            if self._read("CURRENT.json") is not None:
+                raise StoreError(f"the store has layout 1 instead of {LAYOUT}: migrate it")
+            return {"version": 0, "layout": LAYOUT, "buckets": self.buckets, "tables": {}, "schemas": {}}
+        now = self._read(f"versions/{known[-1]:010}.json")
+        if now["layout"] != LAYOUT:
+            raise StoreError(f"the store has layout {now['layout']} instead of {LAYOUT}: migrate it")
         return now
 
-    def _commit(self, changed: dict[str, DataFrame]) -> None:
+    def _commit(self, before: dict, changes: dict) -> None:
+        """Writes the next version; fails if there is one already."""
+        now = before | changes | {"version": before["version"] + 1}
         system, root = self._fs
-        before = self._pointer()
-        tables = dict(before["tables"])
-        for name, df in changed.items():
-            path = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.where}/{path}")
-            tables[name] = path
-        if self._pointer() != before:
-            raise StoreError("another writer moved the pointer")
-        system.create_dir(root, recursive=True)
-        name = f"{root}/{uuid.uuid4().hex}.json"
-        with system.open_output_stream(name) as f:
-            f.write(json.dumps({"version": before["version"] + 1, "schema_version": ids.SCHEMA_VERSION, "tables": tables}).encode())
-        system.move(name, f"{root}/CURRENT.json")
+        system.create_dir(f"{root}/versions", recursive=True)
+        name, made = f"{root}/versions/{now['version']:010}.json", f"{root}/{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(made) as f:
+            f.write(json.dumps(now).encode())
+        if isinstance(system, fs.LocalFileSystem):
+            try:
+                os.link(made, name)  # a link is never put over a file
+                ok = True
+            except FileExistsError:
+                ok = False
+            system.delete_file(made)
+        else:
+            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            src, dst = (jvm.org.apache.hadoop.fs.Path(f"{self.where}/{x.removeprefix(root + '/')}") for x in (made, name))
+            ok = src.getFileSystem(conf).rename(src, dst)
+        if not ok:
+            raise StoreError("another writer was first")
 
     def migrate(self) -> int:
-        """The schema version, after what was needed to reach it (nothing, from version 1 on)."""
-        return self._pointer()["schema_version"]
+        """Brings a store of layout 1 into buckets; one of this layout stays as it is. Returns the layout."""
+        old = self._read("CURRENT.json")
+        if self.versions() or old is None:
+            return self._version()["layout"]
+        before = {"version": 0, "layout": LAYOUT, "buckets": self.buckets, "tables": {}, "schemas": {}}
+        tables, schemas = {}, {}
+        for name, path in old["tables"].items():
+            df = self.spark.read.parquet(f"{self.where}/{path}")
+            if name == "runs":
+                df = df.select("run_id", "prefixes", "timestamp")
+                tables[name], schemas[name] = {"0": [self._append(name, df)]}, df.schema.jsonValue()
+            else:
+                tables[name], schemas[name] = self._write(name, df, before["buckets"]), df.schema.jsonValue()
+        self._commit(before, {"tables": tables, "schemas": schemas})
+        return LAYOUT
+
+    def expire(self, keep: int = 5) -> int:
+        """Removes versions but the last `keep`, and folders that none of these names; returns how many folders."""
+        system, root = self._fs
+        known = self.versions()
+        stay, n = known[-max(1, keep) :], 0
+        live = {p.split("/bucket=")[0] for v in stay for t in self._read(f"versions/{v:010}.json")["tables"].values() for ps in t.values() for p in ps}
+        for v in known[: -max(1, keep)]:
+            system.delete_file(f"{root}/versions/{v:010}.json")
+        for name in (*TABLES, "runs", "seen", "staged"):
+            for x in system.get_file_info(fs.FileSelector(f"{root}/{name}", allow_not_found=True)):
+                if f"{name}/{x.base_name}" not in live:
+                    system.delete_dir(x.path)
+                    n += 1
+        return n
+
+    # --- buckets ---------------------------------------------------------------------------
+
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64("source_uri"), F.lit(n)).cast("int")
+
+    def _write(self, name: str, df: DataFrame, n: int) -> dict[str, list[str]]:
+        """Writes rows by buckets; returns the folders of those that have any."""
+        system, root = self._fs
+        path = f"{name}/{uuid.uuid4().hex}"
+        rows = df.withColumn("bucket", self._bucket(n))
+        # a bucket's rows are spread over some tasks, so that a large bucket is not one task's
+        rows.repartition("bucket", F.pmod(F.xxhash64("source_uri", F.lit(1)), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.where}/{path}")
+        found = system.get_file_info(fs.FileSelector(f"{root}/{path}"))
+        return {x.base_name.removeprefix("bucket="): [f"{path}/{x.base_name}"] for x in found if x.base_name.startswith("bucket=")}
+
+    def _append(self, name: str, df: DataFrame) -> str:
+        path = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.where}/{path}")
+        return path
+
+    def _load(self, now: dict, name: str, buckets: list[str] | None = None) -> DataFrame | None:
+        if name not in now["schemas"]:
+            return None
+        schema = StructType.fromJson(now["schemas"][name])
+        paths = [p for b, ps in now["tables"][name].items() if buckets is None or b in buckets for p in ps]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.where}/{p}" for p in paths])
 
     def table(self, name: str) -> DataFrame | None:
-        path = self._pointer()["tables"].get(name)
-        return None if path is None else self.spark.read.parquet(f"{self.where}/{path}")
+        return self._load(self._version(), name)
 
     def _need(self, name: str) -> DataFrame:
         if (found := self.table(name)) is None:
             raise StoreError(f"no {name} yet")
         return found
 
+    def of_source(self, name: str, uri: str) -> DataFrame:
+        """The rows of one source, from its bucket alone."""
+        now = self._version()
+        if name not in now["schemas"]:
+            raise StoreError(f"no {name} yet")
+        bucket = self.spark.range(1).select(F.lit(uri).alias("source_uri")).select(self._bucket(now["buckets"])).first()[0]
+        return self._load(now, name, [str(bucket)]).filter(F.col("source_uri") == uri)
+
+    def _replaced(self, now: dict, touched: DataFrame, fresh: dict[str, DataFrame], kept: dict[str, DataFrame] | None = None) -> dict:
+        """The changes of a version in which the rows of `touched` (source_uri) go and `fresh` ones come. Only their buckets are read and written.
+        kept: rows of touched sources that stay, for tables where not all go."""
+        n = now["buckets"]
+        buckets = sorted(str(r[0]) for r in touched.select(self._bucket(n).alias("b")).distinct().collect())  # at most n numbers
+        tables, schemas = dict(now["tables"]), dict(now["schemas"])
+        for name in TABLES:
+            old, new = self._load(now, name, buckets), fresh.get(name)
+            if old is None and new is None:
+                continue
+            rows = new
+            if old is not None:
+                rows = old.join(touched.select("source_uri"), "source_uri", "left_anti")
+                for extra in (kept or {}).get(name), new:
+                    rows = rows if extra is None else rows.unionByName(extra, allowMissingColumns=True)
+                rows = rows.select(*[F.col(c).cast(t) for c, t in old.dtypes], *[c for c in rows.columns if c not in old.columns])
+            made = self._write(name, rows, n)
+            tables[name] = {b: p for b, p in now["tables"].get(name, {}).items() if b not in buckets} | made
+            schemas[name] = rows.schema.jsonValue()
+        return {"tables": tables, "schemas": schemas}
+
     # --- writing ---------------------------------------------------------------------------
 
-    def upsert(self, new: Snapshot, run_id: str, timestamp: str, prefixes: tuple[str, ...] = (), prune: bool = False) -> DataFrame:
+    def unchanged(self) -> DataFrame | None:
+        """(source_uri, checksum) of what is stored under the identity version of today: what need not be parsed again."""
+        docs = self.table("documents")
+        return None if docs is None else docs.filter(F.col("identity_version") == ids.IDENTITY_VERSION).select("source_uri", F.col("source_checksum").alias("checksum"))
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written once and read again; `expire` removes it."""
+        path = f"{self.where}/staged/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def upsert(self, new: Snapshot, run_id: str, timestamp: str, prefixes: tuple[str, ...] = (), prune: bool = False, seen: DataFrame | None = None) -> DataFrame:
         """Writes documents that are new or changed, and with `prune` removes stale ones of the scope.
-        Returns (source_uri, action), as it was decided before the write."""
-        old = {t: self.table(t) for t in TABLES}
-        stored = old["documents"] if old["documents"] is not None else new.documents.limit(0)
-        actions = upsert_classes(stored, new.documents)
-        if prune:
-            actions = actions.union(stale(stored.select("source_uri"), new.documents, prefixes).select("source_uri", F.lit("deleted")))
-        path = f"{self.where}/actions/{uuid.uuid4().hex}"
-        actions.write.parquet(path)
-        actions = self.spark.read.parquet(path)
+        seen: (source_uri) of all sources of the run, where `new` lacks those that are unchanged. A source that comes twice counts once, with its greatest checksum. Returns
+        (source_uri, action), as it was decided before the write."""
+        now = self._version()
+        once = new.documents.withColumn("__n", F.row_number().over(Window.partitionBy("source_uri").orderBy(F.desc("source_checksum")))).filter("__n = 1").drop("__n")
+        docs = self.staged(once, "documents")
+        stored = self._load(now, "documents")
+        actions = upsert_classes(docs.limit(0) if stored is None else stored, docs)
+        seen = docs.select("source_uri") if seen is None else seen.select("source_uri").distinct()
+        if stored is not None:
+            rest = seen.join(docs.select("source_uri"), "source_uri", "left_anti").join(stored.select("source_uri"), "source_uri", "left_semi")
+            actions = actions.union(rest.select("source_uri", F.lit("skipped")))
+            if prune:
+                actions = actions.union(stale(stored.select("source_uri"), seen, prefixes).select("source_uri", F.lit("deleted")))
+        actions = self.staged(actions, "actions")
         write = actions.filter(F.col("action").isin("inserted", "updated")).select("source_uri")
         touched = actions.filter("action <> 'skipped'").select("source_uri")
-        out = {}
-        for name, df in (("documents", new.documents), ("sections", new.sections), ("chunks", new.chunks)):
-            fresh = df.join(write, "source_uri", "left_semi")
-            out[name] = fresh if old[name] is None else old[name].join(touched, "source_uri", "left_anti").unionByName(fresh, allowMissingColumns=True)
-        fresh = revision_rows(Snapshot(new.documents.join(write, "source_uri", "left_semi"), new.sections, new.chunks), old["revisions"], run_id, timestamp)
-        if old["revisions"] is None:
-            out["revisions"] = fresh
+        run = {"runs": self.spark.createDataFrame([(run_id, list(prefixes), timestamp)], RUNS), "seen": seen.select(F.lit(run_id).alias("run_id"), "source_uri")}
+        if touched.isEmpty():
+            changes = {"tables": dict(now["tables"]), "schemas": dict(now["schemas"])}
         else:
-            gone = actions.filter("action = 'deleted'").select("source_uri")
-            kept = old["revisions"].join(gone, "source_uri", "left_anti").join(write.withColumn("__w", F.lit(True)), "source_uri", "left")
-            out["revisions"] = kept.withColumn("is_current", F.col("is_current") & F.col("__w").isNull()).drop("__w").unionByName(fresh)
-        run = self.spark.createDataFrame([(run_id, list(prefixes), new.documents.count(), timestamp)], RUNS)
-        out["runs"] = run if old["runs"] is None else old["runs"].filter(F.col("run_id") != run_id).unionByName(run)
-        self._commit(out)
+            fresh = {"documents": docs.join(write, "source_uri", "left_semi")}
+            for name, df in (("sections", new.sections), ("chunks", new.chunks)):
+                fresh[name] = self.staged(df.join(write, "source_uri", "left_semi").dropDuplicates([_KEYS[name]]), name)
+            old = self._load(now, "revisions")
+            fresh["revisions"] = revision_rows(Snapshot(fresh["documents"], fresh["sections"], fresh["chunks"]), old, run_id, timestamp)
+            kept = {} if old is None else {"revisions": old.join(write, "source_uri", "left_semi").withColumn("is_current", F.lit(False))}
+            changes = self._replaced(now, touched, fresh, kept)
+        for name, df in run.items():
+            changes["tables"][name] = {"0": [*now["tables"].get(name, {}).get("0", []), self._append(name, df)]}
+            changes["schemas"][name] = df.schema.jsonValue()
+        self._commit(now, changes)
         return actions
 
-    def delete(self, condition, dry_run: bool = False) -> dict[str, int]:  # noqa: ANN001
-        """Removes documents for which a condition on source_uri holds, with all that belongs to them;
+    def sync(self, new: Snapshot, run_id: str, timestamp: str, prefixes: tuple[str, ...], policy: str = "hard_delete", dry_run: bool = False) -> SyncResult:
+        """Makes the stored sources of a scope those of `new`. policy: hard_delete, or ignore stale ones; dry_run: only tells what it would do."""
+        if policy not in ("hard_delete", "ignore"):
+            raise ValueError(f"no such policy: {policy}")
+        stored = self.table("documents")
+        gone = None if stored is None or policy == "ignore" else stale(stored.select("source_uri"), new.documents, prefixes)
+        deleted = {} if gone is None else self.counts_of(gone)
+        if dry_run:
+            actions = upsert_classes(new.documents.limit(0) if stored is None else stored, new.documents)
+            actions = actions if gone is None else actions.union(gone.select("source_uri", F.lit("deleted")))
+        else:
+            actions = self.upsert(new, run_id, timestamp, prefixes, prune=policy == "hard_delete")
+        return SyncResult(actions, deleted, dry_run)
+
+    def counts_of(self, uris: DataFrame) -> dict[str, int]:
+        """How many rows of each table belong to `uris` (source_uri)."""
+        uris = uris.select("source_uri").distinct()
+        return {name: self._need(name).join(uris, "source_uri", "left_semi").count() for name in TABLES}
+
+    def delete(self, which: Column | DataFrame, dry_run: bool = False) -> dict[str, int]:
+        """Removes the documents of a table of source_uri, or those for which a condition on it holds, with all that belongs to them;
         returns how many rows of each table."""
-        counts, out = {}, {}
-        for name in ("documents", "sections", "chunks", "revisions"):
-            df = self._need(name)
-            counts[name] = df.filter(condition).count()
-            out[name] = df.filter(~F.coalesce(condition, F.lit(False)))
+        now = self._version()
+        docs = self._need("documents").select("source_uri")
+        uris = docs.filter(which) if isinstance(which, Column) else docs.join(which.select("source_uri"), "source_uri", "left_semi")
+        counts = self.counts_of(uris)
         if not dry_run and any(counts.values()):
-            self._commit(out)
+            self._commit(now, self._replaced(now, self.staged(uris, "deleted"), {}))
         return counts
 
+    def delete_prefix(self, prefix: str, dry_run: bool = False) -> dict[str, int]:
+        return self.delete(F.startswith("source_uri", F.lit(prefix)), dry_run)
+
     def prune_revisions(self, max_depth: int = 10) -> int:
-        revisions = self._need("revisions")
+        now, revisions = self._version(), self._need("revisions")
         gone = revisions_to_prune(revisions, max_depth)
         n = gone.count()
         if n:
-            self._commit({"revisions": revisions.join(gone.select("document_id", "revision_number"), ["document_id", "revision_number"], "left_anti")})
+            hit = self.staged(gone.select("source_uri", "document_id", "revision_number"), "pruned")
+            touched = hit.select("source_uri").distinct()
+            buckets = sorted(str(r[0]) for r in touched.select(self._bucket(now["buckets"])).distinct().collect())
+            rows = self._load(now, "revisions", buckets).join(hit.select("document_id", "revision_number"), ["document_id", "revision_number"], "left_anti").select(revisions.columns)
+            made = self._write("revisions", rows, now["buckets"])
+            table = {b: p for b, p in now["tables"]["revisions"].items() if b not in buckets} | made
+            self._commit(now, {"tables": now["tables"] | {"revisions": table}})
         return n
 
     # --- reading ---------------------------------------------------------------------------
@@ -141,21 +312,48 @@ class Store:
         keys = ["source_uri", "order_index"] if "order_index" in df.columns else ["source_uri"]
         return df.orderBy(*keys).offset(offset).limit(limit), df.count()
 
+    def documents_by_uris(self, uris: DataFrame | list[str]) -> DataFrame:
+        if not isinstance(uris, DataFrame):
+            uris = self.spark.createDataFrame([(u,) for u in uris], "source_uri string")
+        return self._need("documents").join(uris.select("source_uri").distinct(), "source_uri", "left_semi")
+
+    def document_by_id(self, document_id: str) -> DataFrame:
+        return self._need("documents").filter(F.col("document_id") == document_id)
+
+    def with_children(self, documents: DataFrame) -> DataFrame:
+        """`documents` with arrays of their sections and chunks, in order."""
+        out = documents
+        for name in ("sections", "chunks"):
+            df = self._need(name).join(documents.select("document_id"), "document_id", "left_semi")
+            first = ["order_index"]
+            rows = df.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(*first, *[c for c in df.columns if c not in first]))).alias(name))
+            out = out.join(rows, "document_id", "left")
+        return out
+
+    def chunks_by_section(self, section_id: str, offset: int = 0, limit: int = 50) -> DataFrame:
+        return self._need("chunks").filter(F.col("section_id") == section_id).orderBy("order_index").offset(offset).limit(limit)
+
+    def uris_in_scope(self, prefixes: tuple[str, ...]) -> DataFrame:
+        return self._need("documents").select("source_uri").filter(in_scope(F.col("source_uri"), prefixes))
+
     def find(self, key: str) -> tuple[str, DataFrame] | None:
         """A document by URI or id, a section or a chunk by id: the first that there is."""
-        for name, columns in (("documents", ("source_uri", "document_id")), ("sections", ("section_id",)), ("chunks", ("chunk_id",))):
-            df = self._need(name)
-            for c in columns:
-                if not (hit := df.filter(F.col(c) == key)).isEmpty():
-                    return name, hit
+        if not (hit := self.of_source("documents", key)).isEmpty():
+            return "documents", hit
+        for name, c in _KEYS.items():
+            if not (hit := self._need(name).filter(F.col(c) == key)).isEmpty():
+                return name, hit
         return None
 
     def revisions(self, uri: str, limit: int | None = None) -> DataFrame:
-        df = self._need("revisions").filter(F.col("source_uri") == uri).orderBy(F.desc("revision_number"))
+        df = self.of_source("revisions", uri).orderBy(F.desc("revision_number"))
         return df if limit is None else df.limit(limit)
 
     def latest_run(self) -> DataFrame:
-        return self._need("runs").orderBy(F.desc("timestamp")).limit(1)
+        """The last run, with source_uris_seen."""
+        last = self._need("runs").orderBy(F.desc("timestamp")).limit(1)
+        seen = self._need("seen").groupBy("run_id").agg(F.sort_array(F.collect_set("source_uri")).alias("source_uris_seen"))
+        return last.join(seen, "run_id", "left").withColumn("source_uris_seen", F.coalesce("source_uris_seen", F.array().cast("array<string>")))
 
     def stats(self) -> dict[str, int]:
         return {n: 0 if (df := self.table(n)) is None else df.count() for n in ("documents", "sections", "chunks")}
@@ -177,6 +375,7 @@ def revision_rows(new: Snapshot, old: DataFrame | None, run_id: str, timestamp:
     return rows.withColumn("revision_number", number).select("document_id", "source_uri", "source_checksum", "revision_number", F.lit(run_id).alias("ingestion_run_id"), "section_anchors", "section_hashes", "chunk_anchors", "chunk_hashes", F.lit(True).alias("is_current"), F.lit(timestamp).alias("timestamp"))
 
 
-def with_previous(revisions: DataFrame) -> DataFrame:
+def with_previous(revisions: DataFrame, of: str = "source_checksum") -> DataFrame:
+    """`revisions` with the value of a column in the revision before."""
     w = Window.partitionBy("document_id").orderBy("revision_number")
-    return revisions.withColumn("previous_checksum", F.lag("source_checksum").over(w))
+    return revisions.withColumn(f"previous_{of.removeprefix('source_')}", F.lag(of).over(w))
