@@ -51,7 +51,7 @@ from loomtext.llm.tables import materialized, small_batches
 LENGTH = 50
 PREFIX = 64  #: bytes of a suffix that are exchanged as text
 WIDTH = PREFIX + 16
-RUN_SUFFIXES = 400_000  #: suffixes in a run; bounds a task's memory
+RUN_SUFFIXES = 1_000_000  #: suffixes in a run; bounds a task's memory
 RANGE_SUFFIXES = 150_000  #: suffixes aimed at for a range of the merge
 RANGES = 200_000
 SAMPLE = 24  #: suffixes for each range that splitters are taken from, while ranges are few
