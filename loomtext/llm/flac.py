@@ -35,8 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.tables import small_batches
+
 SCHEMA = "id bigint, block int, sample_offset bigint, n_samples int, channels int, bits int, sample_rate int, pcm binary, frame_ok boolean, stream_ok boolean"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+STREAM_BYTES = 4 << 20  #: of streams that are decoded together, and of samples that are handed on together
+GROUP_SAMPLES = 1 << 20  #: of frames that advance together
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -348,12 +352,13 @@ def decode_streams(values: list[bytes | None]) -> list[list[tuple]]:
                 shapes[ms[k][2], ms[k][3]].append((i, len(frames[i]) - 1))
             k = end
     for (n, code), members in shapes.items():
-        for a in range(0, len(members), 4096):
-            part = members[a : a + 4096]
+        step = max(1, min(4096, GROUP_SAMPLES // max(1, n)))
+        for a in range(0, len(members), step):
+            part = members[a : a + step]
             got = [frames[i][k] for i, k in part]
             samples, ok = decode_frames(buf, np.array([f[1] for f in got]), np.array([f[0][0] + f[0][1] for f in got]), n, code, np.array([f[0][4] for f in got]))
             for f, s, o in zip(got, samples, ok, strict=True):
-                f[2], f[3] = bool(o), s if o else None
+                f[2], f[3] = bool(o), pack(s, f[0][4]) if o else None  # as bytes, a quarter of the numbers or less
     return [_rows(values[i], infos[i], frames[i]) for i in range(len(values))]
 
 
@@ -368,7 +373,7 @@ def _rows(value: bytes | None, info: Stream | None, frames: list[list]) -> list[
             continue
         _, _, n, code, bits, number, by_sample = head
         sample = number if by_sample else number * info.fixed_block
-        pcm = pack(s, bits) if ok else None
+        pcm = s if ok else None
         good &= ok
         if ok:
             digest.update(pcm)
@@ -385,14 +390,30 @@ def decode(streams: DataFrame) -> DataFrame:
     """The PCM blocks of each row of `streams` (id, flac, in that order): see SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                rows = [(i, *r) for i, rs in zip(part.column(0).to_pylist(), decode_streams(part.column(1).to_pylist()), strict=True) for r in rs]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
-    return streams.select(F.col(streams.columns[0]).cast("bigint").alias("id"), F.col(streams.columns[1]).alias("flac")).mapInArrow(run, SCHEMA)
+        for b in batches:
+            ids, values = b.column(0).to_pylist(), b.column(1)
+            size = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
+            a = 0
+            while a < len(ids):  # streams of STREAM_BYTES together, or one
+                z = max(a + 1, min(a + 1000, int(np.searchsorted(size, (size[a - 1] if a else 0) + STREAM_BYTES, side="right"))))
+                rows, held = [], 0
+                for i, rs in zip(ids[a:z], decode_streams(values.slice(a, z - a).to_pylist()), strict=True):
+                    for r in rs:
+                        rows.append((i, *r))
+                        held += len(r[6] or b"") + 100
+                        if held > STREAM_BYTES:
+                            yield out(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield out(rows)
+                a = z
+
+    return small_batches(streams).select(F.col(streams.columns[0]).cast("bigint").alias("id"), F.col(streams.columns[1]).alias("flac")).mapInArrow(run, SCHEMA)
 
 
 # --- encoding ------------------------------------------------------------------------------
