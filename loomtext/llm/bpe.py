@@ -5,7 +5,8 @@ A text is first cut at places where the vocabulary's own pre-tokenizer always cu
 a single blank, and around longer runs of white space), so its tokens are those of the
 pieces, one after another. Each distinct piece of a batch is encoded once and kept for
 later batches of the same worker; ids, byte lengths and offsets of a text are then gathered
-from those of its pieces.
+from those of its pieces. A vocabulary with another pre-tokenizer or with a normalizer is
+told apart when it is loaded, and its texts are encoded as wholes.
 
 Byte-level vocabularies write each byte as a printable character; the table between the two
 is `byte_table`. Decoding maps the characters of the concatenated tokens back to bytes, so a
@@ -24,6 +25,7 @@ order within a partition; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -60,12 +62,21 @@ class Codec:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        made = json.loads(self.tok.to_str())
+        before = made["pre_tokenizer"] or {}
+        #: whether `pieces` cuts where this vocabulary's own pre-tokenizer always cuts; else texts are encoded as wholes
+        self.cuts = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
         vocab = self.tok.get_vocab(with_added_tokens=True)
         special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         table = byte_table()
         raw = [b""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
-            raw[i] = s.encode() if s in special else bytes(table[c] for c in s)
+            if s in special:
+                raw[i] = s.encode()
+            elif all(c in table for c in s):
+                raw[i] = bytes(table[c] for c in s)
+            else:
+                raise ValueError(f"{path}: token {s!r} is not of a byte-level vocabulary")
         self.size = np.array([len(x) for x in raw], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
@@ -92,10 +103,10 @@ class Codec:
 
     def encode_slice(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n+1 offsets of the texts of a slice."""
-        starts, ends, ptr = pieces(buf, off)
+        starts, ends, ptr = pieces(buf, off) if self.cuts else whole_texts(off)
         h = W.hash_ranges(buf, starts, ends)
         uniq, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > KEEP_PIECES:
+        if len(self.keys) > KEEP_PIECES or not self.cuts:
             self.forget()
         at = np.searchsorted(self.keys, uniq)
         new = np.ones(len(uniq), bool)
@@ -219,6 +230,12 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.append(starts[1:], n), np.searchsorted(starts, off)
 
 
+def whole_texts(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `pieces`, without a cut."""
+    some = off[1:] > off[:-1]
+    return off[:-1][some], off[1:][some], np.concatenate([[0], np.cumsum(some)])
+
+
 def _shift(x: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), bool)
     out[0] = False
