@@ -12,7 +12,8 @@ digest_ok (null without a digest) and error.
 Defined results: an empty file has no records; a member that is damaged, cut short, or whose record
 does not keep to its Content-Length gives one row with what is known and an error, digest_ok is
 false, and reading goes on at the next gzip signature. A header without a colon is ignored; of
-repeated headers the last counts.
+repeated headers the last counts; a header block of more than HEAD_BYTES is an error, and so is a Content-Length, a page number or an encoded
+address that is none. What is compressed is decompressed in pieces of PIECE, however small it was.
 
 `write` makes one file for each partition of a table (id, url, content) in the shared folder, and
 returns the paths; a retried task writes under a new name, and only the paths of finished tasks
@@ -23,7 +24,9 @@ ignored.
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +42,9 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string()]
 PIECE = 1 << 20
 BATCH_BYTES = 4 << 20
+HEAD_BYTES = 16 << 20
 _MAGIC = b"\x1f\x8b\x08"
+_NUMBER = re.compile(r"-?[0-9]{1,18}", re.ASCII)
 
 
 def digest(content: bytes) -> str:
@@ -67,20 +72,27 @@ class Framing:
     """The parts of a record, from decompressed pieces in order."""
 
     def __init__(self) -> None:
-        self.head, self.fields, self.size, self.parts, self.have, self.tail = b"", None, -1, [], 0, b""
+        self.head, self.fields, self.size, self.parts, self.have, self.tail = bytearray(), None, -1, [], 0, b""
+        self.bad: str | None = None
         self.sha = hashlib.sha1(usedforsecurity=False)
 
     def feed(self, data: bytes) -> None:
         if self.fields is None:
+            if self.bad:
+                return
+            begin = max(0, len(self.head) - 3)
             self.head += data
-            end = self.head.find(b"\r\n\r\n")
+            end = self.head.find(b"\r\n\r\n", begin)
             if end < 0:
+                if len(self.head) > HEAD_BYTES:
+                    self.bad, self.head = "header without an end", bytearray()
                 return
-            data, lines = self.head[end + 4 :], self.head[:end].decode("utf-8", "replace").split("\r\n")
+            data, lines = bytes(self.head[end + 4 :]), bytes(self.head[:end]).decode("utf-8", "replace").split("\r\n")
+            self.head = bytearray()
             self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if ":" in x)}
             self.version = lines[0]
             size = self.fields.get("content-length", "")
-            self.size = int(size) if size.isdigit() else -1
+            self.size = int(size) if _NUMBER.fullmatch(size) and size[0] != "-" else -1
         take = data[: max(0, self.size - self.have)]
         self.sha.update(take)
         self.parts.append(take)
@@ -89,8 +101,22 @@ class Framing:
 
     def row(self, path: str, offset: int, length: int, error: str | None) -> tuple:
         f = self.fields or {}
+        uri, page = f.get("warc-target-uri"), None
+        bad = self.bad
+        if "x-target-uri-base64" in f:
+            try:
+                uri = base64.b64decode(f["x-target-uri-base64"], validate=True).decode()
+            except (binascii.Error, ValueError):
+                bad = bad or "address that cannot be decoded"
+        if "x-page-id" in f:
+            if _NUMBER.fullmatch(f["x-page-id"]):
+                page = int(f["x-page-id"])
+            else:
+                bad = bad or "page number that is none"
         if error is None:
-            if self.fields is None or not self.version.startswith("WARC/"):
+            if bad and self.fields is None:
+                error = bad
+            elif self.fields is None or not self.version.startswith("WARC/"):
                 error = "no WARC header"
             elif self.size < 0:
                 error = "no Content-Length"
@@ -98,12 +124,12 @@ class Framing:
                 error = f"content of {self.have} bytes instead of {self.size}"
             elif self.tail != b"\r\n\r\n":
                 error = "record does not end behind its content"
+            else:
+                error = bad
         given = f.get("warc-block-digest")
         fits = None if given is None else given.lower() == "sha1:" + base64.b32encode(self.sha.digest()).decode().lower()
-        uri = base64.b64decode(f["x-target-uri-base64"]).decode() if "x-target-uri-base64" in f else f.get("warc-target-uri")
-        page = f.get("x-page-id", "")
         null = "x-null-content" in f
-        return (path, offset, length, f.get("warc-type"), f.get("warc-record-id"), uri, int(page) if page.lstrip("-").isdigit() else None, self.size if self.size >= 0 else None, None if null else b"".join(self.parts), null, False if error else fits, error)
+        return (path, offset, length, f.get("warc-type"), f.get("warc-record-id"), uri, page, self.size if self.size >= 0 else None, None if null else b"".join(self.parts), null, False if error else fits, error)
 
 
 def read_stream(stream, path: str) -> Iterator[tuple]:  # noqa: ANN001
@@ -119,7 +145,11 @@ def read_stream(stream, path: str) -> Iterator[tuple]:  # noqa: ANN001
         z = zlib.decompressobj(wbits=31)
         while True:
             try:
-                at.feed(z.decompress(buf))
+                at.feed(z.decompress(buf, PIECE))
+                while z.unconsumed_tail:
+                    at.feed(z.decompress(z.unconsumed_tail, PIECE))
+                while not z.eof and (more := z.decompress(b"", PIECE)):  # what zlib still holds
+                    at.feed(more)
             except zlib.error as e:
                 error = f"damaged: {e}"
                 break
