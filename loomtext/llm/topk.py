@@ -38,6 +38,7 @@ from loomtext.llm.toxicity import Lexicon, _doc_words, hash_words
 
 K = 10
 FIRST_BLOCK = 32  #: entries that are read from each list before bounds are first compared
+PORTION_BYTES = 16 << 20  #: text of the queries that are answered in one pass
 SCHEMA = "query_id bigint, doc_id bigint, score bigint"
 
 
@@ -116,18 +117,13 @@ def matches(lex: Lexicon, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarra
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """The best `k` rows of `docs` (doc_id, text) for each row of `queries` (id, text, in that order).
 
-    The queries are collected and broadcast: they are the small side by nature, and their size is
-    checked; a larger table of queries is answered in portions of that size, one pass each."""
-    ids, words = read_queries(queries)
-    portions, size = [[]], 0
-    for i, w in enumerate(words):
-        size += sum(map(len, w)) + 16 * len(w)
-        if size > 16 << 20 and portions[-1]:
-            portions.append([])
-            size = 0
-        portions[-1].append(i)
+    The queries are collected and broadcast: they are the small side by nature. Their size is looked at first, and a
+    larger table of queries is answered in portions of about PORTION_BYTES, by hash of the id, one pass each."""
+    size = queries.agg(F.sum(F.octet_length(F.col(queries.columns[1]).cast("string")))).first()[0] or 0
+    n = max(1, -(-size // PORTION_BYTES))
+    part = F.pmod(F.xxhash64(F.col(queries.columns[0]).cast("bigint")), F.lit(n))
     slim = small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    found = [_portion(slim, ids[p], [words[i] for i in p], k) for p in portions]
+    found = [_portion(slim, *read_queries(queries.filter(part == i) if n > 1 else queries), k) for i in range(n)]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
