@@ -288,12 +288,30 @@ def token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_rows(spark, sf, C.TokenChunker(512, 32)).select("chunk_id", "source_uri", "section_chunk_index", "content_hash", "token_count")
 
 
+#: The cuts with the place of each piece in the section's content, and the end of the piece before in front of it.
+_PLACED = (
+    _cut_sql("SELECT uri, text FROM src").replace("SELECT uri, -1 AS i, NULL::VARCHAR AS content, ", "SELECT uri, -1 AS i, NULL::VARCHAR AS content, 0 AS used, 0 AS place, ").replace("SELECT uri, i + 1, rtrim(", "SELECT uri, i + 1, rtrim(", 1)
+    .replace("FROM (SELECT uri, i, rem, CASE", "FROM (SELECT uri, i, rem, used, CASE")
+    .replace("rtrim(CASE WHEN length(rem) <= 1500 THEN rem ELSE substr(rem, 1, sp) END, E' \\n\\t\\r'),", "rtrim(CASE WHEN length(rem) <= 1500 THEN rem ELSE substr(rem, 1, sp) END, E' \\n\\t\\r'), used + CASE WHEN length(rem) <= 1500 THEN length(rem) ELSE length(rem) - length(ltrim(substr(rem, sp + 1), E' \\n\\t\\r')) END, used,")
+    .replace("cut AS (SELECT uri, i, content FROM piece", "cut AS (SELECT uri, i, content, place FROM piece")
+)
+
+
+@query(
+    _PLACED + ", o AS (SELECT *, ltrim(right(lag(content) OVER (PARTITION BY uri ORDER BY i), 100), E' \\n\\t\\r') AS tail, lag(place + length(content)) OVER (PARTITION BY uri ORDER BY i) AS stop FROM cut), p AS (SELECT *, CASE WHEN coalesce(tail, '') = '' THEN content ELSE tail || CASE WHEN place > stop THEN ' ' ELSE '' END || content END AS whole FROM o)"
+    + f" SELECT {_uuid(f'{_DOC} || {chr(39)}:chunk:__root__:chunk_{chr(39)} || i')} AS chunk_id, i::INT AS section_chunk_index, substr(sha256(whole), 1, 16) AS content_hash, place::INT AS char_start, (place + length(content))::INT AS char_end FROM p"
+)
+def size_chunks_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that begin with the end of the one before."""
+    return chunk_rows(spark, sf, C.SizeChunker(1500, 100)).select("chunk_id", "section_chunk_index", "content_hash", "char_start", "char_end")
+
+
 @query()
 def size_chunks_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_rows(spark, sf, C.SizeChunker(1500, 100, 200)).select("chunk_id", "source_uri", "section_chunk_index", "content_hash", "char_start", "char_end")
 
 
-@query()
+@query(_NOW + f" SELECT {_uuid(f'{_DOC} || {chr(39)}:chunk:__root__:chunk_{chr(39)} || i')} AS chunk_id, 'table' AS structure_type FROM cut WHERE contains(content, '|')")
 def structure_types(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunks(docs(spark, sf)).select("chunk_id", F.explode("structure_types").alias("structure_type"))
 
