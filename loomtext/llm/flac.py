@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -397,7 +398,7 @@ def decode(streams: DataFrame) -> DataFrame:
 
         for b in batches:
             ids, values = b.column(0).to_pylist(), b.column(1)
-            size = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
+            size = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
             a = 0
             while a < len(ids):  # streams of STREAM_BYTES together, or one
                 z = max(a + 1, min(a + 1000, int(np.searchsorted(size, (size[a - 1] if a else 0) + STREAM_BYTES, side="right"))))
