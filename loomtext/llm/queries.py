@@ -118,6 +118,25 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(p) AS word_start, max(p) + 50 AS word_end, count(*) AS windows, count(*) FILTER (lead) AS first_windows, count(*) FILTER (across) AS cross_windows
         FROM island GROUP BY doc_id, g
     """,
+    # all pairs; the operator finds a pair at the threshold with a probability of 0.92, and one of a similarity of 0.6 with 0.996
+    "op3_minhash_groups": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), s AS (
+          SELECT DISTINCT doc_id, array_to_string(ws[p : p + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS p FROM w WHERE len(ws) > 0)
+        ), n AS (
+          SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), both_ AS (
+          SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+        ), e AS (
+          SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.5 * (x.n + y.n - k)
+        ), edges AS (
+          SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+        ), reach AS (
+          SELECT a AS v, a AS m FROM edges UNION SELECT edges.b, reach.m FROM reach JOIN edges ON reach.v = edges.a
+        )
+        SELECT v AS doc_id, min(m) AS group_id, v = min(m) AS keep FROM reach GROUP BY v
+    """,
     "op2_topk": r"""
         WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         f AS (SELECT doc_id, w, count(*) AS f FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w FROM d) GROUP BY ALL),
