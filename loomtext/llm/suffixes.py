@@ -17,11 +17,12 @@ prefix rests. (Exchanging the whole strings gives the same rows and was measured
 3. The runs of a range are merged by a loser tree that keeps, with each loser, the length of its
    common prefix with the last winner: prefixes of different length decide without looking at
    any symbol, and with equal ones comparison starts behind the prefix. Many such trees,
-   one for each subrange of the sorted order, are stepped together in numpy.
+   one for each subrange of the sorted order, are stepped together in numpy. A tree has a leaf for each run, and runs grow with the corpus: a range of
+   more than TREE_RUNS is sorted anew, symbol by symbol, in a time that depends on its suffixes alone. Blocks are coded and decoded many at a time for the same reason.
 4. Equal suffixes are neighbours then; their places go back to their documents, where
    adjacent ones join into passages.
 
-Splitters are broadcast; there are at most RANGES of them, some bytes each. Up to RANGES * RANGE_SUFFIXES candidate suffixes (some 40 TB of text)
+Splitters are broadcast; there are at most RANGES of them, some bytes each. Up to RANGES * RANGE_SUFFIXES candidate suffixes (some 80 TB of text)
 a range has about RANGE_SUFFIXES, beyond it ranges grow.
 
 Result, one row for each maximal passage of a document that is covered by repeated suffixes:
@@ -37,7 +38,8 @@ suffixes are ordered by (doc_id, position).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,9 @@ LENGTH = 50
 PREFIX = 64  #: bytes of a suffix that are exchanged as text
 WIDTH = PREFIX + 16
 RUN_SUFFIXES = 400_000  #: suffixes in a run; bounds a task's memory
-RANGE_SUFFIXES = 150_000  #: suffixes aimed at for a range of the merge
+RANGE_SUFFIXES = 300_000  #: suffixes aimed at for a range of the merge
+TREE_RUNS = 8  #: runs that loser trees merge, at most
+CODED = 20_000  #: suffixes that are coded at once, in one block or more
 RANGES = 200_000
 SAMPLE = 24  #: suffixes for each range that splitters are taken from, while ranges are few
 SCHEMA = "doc_id bigint, word_start bigint, word_end bigint, windows bigint, first_windows bigint, cross_windows bigint"
@@ -165,17 +169,22 @@ def sort_strings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple
         got = view[np.minimum(start[which] + 8 * k, len(view) - 1)].astype(np.uint64) & (whole << short)
         return np.where(left > 0, got, np.uint64(0))
 
-    first = symbol(np.arange(len(start)), 0)
+    return sort_symbols(symbol, size // 8 + 1)
+
+
+def sort_symbols(symbol: Callable[[np.ndarray, int], np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, symbols shared with the one before) of strings of `size` symbols; symbol(which, k) gives the k-th of some. Equal ones keep their order."""
+    first = symbol(np.arange(len(size)), 0)
     order = np.argsort(first, kind="stable")
-    shared = np.zeros(len(start), np.int64)
+    shared = np.zeros(len(size), np.int64)
     value = first[order]
-    place = np.arange(len(start))
+    place = np.arange(len(size))
     group = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]])[: len(value)])
     k = 0
     while len(place):
         k += 1
         alone = np.bincount(group)[group] == 1
-        ended = size[order[place]] // 8 + 1 <= k
+        ended = size[order[place]] <= k
         again = np.zeros(len(place), bool)
         again[1:] = group[1:] == group[:-1]
         same = ended & again
@@ -265,17 +274,25 @@ class Run:
                 lo, hi = (m + 1, hi) if raw[start[m] : start[m] + min(size[m], len(s))] < s else (lo, m)
             cut.append(lo)
         edges = np.array([0, *cut, len(head)])
-        for r in np.flatnonzero(np.diff(edges)):
-            a, b = edges[r], edges[r + 1]
+        full = np.flatnonzero(np.diff(edges))
+        edges = np.append(edges[full], len(head))
+        k = 0
+        while k < len(full):  # as many blocks at once as have CODED suffixes, or one
+            to = max(k + 1, int(np.searchsorted(edges, edges[k] + CODED, side="right")) - 1)
+            a, b = edges[k], edges[to]
             z = slice(first[a], first[b])
-            yield int(r), encode_block(text, start[a:b], size[a:b], shared[a:b], np.diff(first[a : b + 1]), ids[z], pos[z])
+            yield from zip(full[k:to].tolist(), encode_blocks(text, start[a:b], size[a:b], shared[a:b], np.diff(first[a : b + 1]), ids[z], pos[z], edges[k : to + 1] - a), strict=True)
+            k = to
 
 
 _PLANES = lambda x: x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()  # noqa: E731 - neighbours have their high bytes in common
 
 
 def _packed(parts: list[np.ndarray], sizes: list[int]) -> bytes:
-    data = np.array(sizes, np.int64).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
+    return _compressed(np.array(sizes, np.int64).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
+
+
+def _compressed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=23, enable_ldm=True)).compress(data)
 
 
@@ -307,15 +324,41 @@ def decode_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_block(text: np.ndarray, start: np.ndarray, size: np.ndarray, shared: np.ndarray, count: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> bytes:
-    """Front coding: for each suffix the symbols it shares with its predecessor in the block, the number of the others, and these; and its places."""
+    return next(encode_blocks(text, start, size, shared, count, ids, pos, np.array([0, len(start)])))
+
+
+_SMALL = 1 << 16  #: bytes of a block for which long distance matching is not worth its tables
+
+
+def encode_blocks(text: np.ndarray, start: np.ndarray, size: np.ndarray, shared: np.ndarray, count: np.ndarray, ids: np.ndarray, pos: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+    """Front coding: for each suffix the symbols it shares with its predecessor in the block, the number of the others, and these; and its places.
+    Block k has the suffixes from edges[k] to edges[k + 1]; none is empty."""
     shared = shared.copy()
-    shared[0] = 0
+    shared[edges[:-1]] = 0
     own = size // 8 + 1 - shared
     n = 8 * own
     at = np.repeat(start + 8 * shared - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     tail = np.where(at < np.repeat(start + size, n), text[np.minimum(at, len(text) - 1)], np.uint8(0))
-    known, doc = np.unique(ids, return_inverse=True)
-    return _packed([_PLANES(shared), _PLANES(own), tail, _PLANES(count), known.view(np.uint8), _PLANES(doc), _PLANES(pos)], [len(start), len(tail), len(known), len(ids)])
+    tail_at = np.concatenate([[0], np.cumsum(n)])[edges].tolist()
+    place_at = np.concatenate([[0], np.cumsum(count)])[edges]
+    block = np.repeat(np.arange(len(edges) - 1), np.diff(place_at))
+    order = np.lexsort((ids, block))
+    new = np.ones(len(ids), bool)
+    new[1:] = (block[order][1:] != block[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    known = ids[order[new]].astype(np.int64)
+    known_at = np.concatenate([[0], np.cumsum(np.bincount(block[order[new]], minlength=len(edges) - 1))])
+    doc = np.empty(len(ids), np.int64)
+    doc[order] = np.cumsum(new) - 1
+    doc -= known_at[block]
+    planes = [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T) for x in (shared, own, count, doc, pos)]
+    edges, place_at, known_at = edges.tolist(), place_at.tolist(), known_at.tolist()
+    small = zstandard.ZstdCompressor(level=3)
+    for k in range(len(edges) - 1):
+        a, b, t, u, p, q, d, e = *edges[k : k + 2], *tail_at[k : k + 2], *place_at[k : k + 2], *known_at[k : k + 2]
+        s, o, c = (x[:, a:b].tobytes() for x in planes[:3])
+        i, j = (x[:, p:q].tobytes() for x in planes[3:])
+        data = b"".join([struct.pack("<4q", b - a, u - t, e - d, q - p), s, o, tail[t:u].tobytes(), c, known[d:e].tobytes(), i, j])
+        yield small.compress(data) if len(data) < _SMALL else _compressed(data)
 
 
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray]  #: all symbols; for each string where its own begin and how many there are
@@ -323,23 +366,43 @@ Keys = tuple[np.ndarray, np.ndarray, np.ndarray]  #: all symbols; for each strin
 
 def decode_block(data: bytes) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, symbols shared with the predecessor, number of places, their documents and positions)."""
-    u = _Unpacked(data, 4)
-    n, tail, docs, total = u.sizes
-    shared, own = u.planes(n), u.planes(n)
-    given = np.frombuffer(u.take(tail).tobytes(), ">u8").astype(np.uint64)
+    return decode_blocks([data])
+
+
+def decode_blocks(blocks: list[bytes]) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of several blocks, one behind the other; the first of a block shares nothing with its predecessor."""
+    unpack = zstandard.ZstdDecompressor()
+    parts: list[list[bytes]] = [[] for _ in range(22)]  # five numbers in four planes each, then symbols and documents
+    docs, places = [], []
+    for block in blocks:
+        raw = unpack.decompress(block)
+        n, tail, known, total = struct.unpack_from("<4q", raw)
+        at = 32
+        for k, size in ((0, n), (4, n), (20, tail), (8, n), (21, 8 * known), (12, total), (16, total)):
+            for plane in range(4 if k < 20 else 1):
+                parts[k + plane].append(raw[at : at + size])
+                at += size
+        docs.append(known)
+        places.append(total)
+
+    def number(k: int) -> np.ndarray:
+        return sum(np.frombuffer(b"".join(parts[k + plane]), np.uint8).astype(np.int64) << (8 * plane) for plane in range(4))
+
+    shared, own = number(0), number(4)
+    given = np.frombuffer(b"".join(parts[20]), ">u8").astype(np.uint64)
     size = shared + own
     first, source = np.cumsum(size) - size, np.cumsum(own) - own - shared
     out = np.empty(int(size.sum()), np.uint64)
-    rows, k = np.arange(n), 0
+    rows, k = np.arange(len(size)), 0
     while len(rows):  # symbol k of all strings that have one: its own, or that of the last one before that has its own
         mine = shared[rows] <= k
         last = np.maximum.accumulate(np.where(mine, np.arange(len(rows)), 0))
         out[first[rows] + k] = given[source[rows[last]] + k]
         k += 1
         rows = rows[size[rows] > k]
-    count = u.planes(n)
-    known = np.frombuffer(u.take(8 * docs).tobytes(), np.int64)
-    return (out, first, size), shared, count, known[u.planes(total)], u.planes(total)
+    known = np.frombuffer(b"".join(parts[21]), np.int64)
+    doc = number(12) + np.repeat(np.cumsum(docs) - docs, places)
+    return (out, first, size), shared, number(8), known[doc], number(16)
 
 
 def merge(runs: list[tuple[Keys, np.ndarray]], spacing: int = 96) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -446,10 +509,14 @@ def merge(runs: list[tuple[Keys, np.ndarray]], spacing: int = 96) -> tuple[np.nd
 
 def merge_range(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(doc_id, code) of each place of the range whose suffix is at two or more places."""
-    runs = [decode_block(x) for x in blocks]
-    order, _, same = merge([(k, c) for k, c, *_ in runs])
-    count = np.concatenate([x[2] for x in runs])
-    ids, pos = np.concatenate([x[3] for x in runs]), np.concatenate([x[4] for x in runs])
+    if len(blocks) <= TREE_RUNS:
+        runs = [decode_block(x) for x in blocks]
+        order, _, same = merge([(k, c) for k, c, *_ in runs])
+        count, ids, pos = (np.concatenate([x[i] for x in runs]) for i in (2, 3, 4))
+    else:
+        (flat, begin, size), _, count, ids, pos = decode_blocks(blocks)
+        order, prefix = sort_symbols(lambda which, k: flat[begin[which] + k], size)
+        same = prefix == size[order]
     first = np.cumsum(count) - count
     n = count[order]
     at = np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))

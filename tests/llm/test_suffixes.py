@@ -141,3 +141,24 @@ def test_full_runs(monkeypatch):
     found = [suffixes.decode_places(x) for x in aside] + [suffixes.merge_range([d for r, d in blocks if r == k]) for k in {r for r, _ in blocks}]
     got = suffixes.passages(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), 12)
     assert len({r for r, _ in blocks}) > 1 and set(zip(*(x.tolist() for x in got), strict=True)) == brute(rows, 12)
+
+
+def test_many_runs(monkeypatch):
+    """A tree has a leaf for each run: a range of very many short runs is not merged by trees, whose work would grow with runs times suffixes."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 9, 20)) for _ in range(60)]
+    widths, merge, places = [1], suffixes.merge, {}
+    monkeypatch.setattr(suffixes, "merge", lambda runs, *a: (widths.append(len(runs)), merge(runs, *a))[1])
+    blocks = []
+    for i in range(600):
+        t = texts[int(rng.integers(60))]
+        run = suffixes.Run(12)
+        list(run.add(np.array([i]), pa.array([t]), pa.array([[0]], pa.list_(pa.int32())), pa.array([[9]], pa.list_(pa.int32()))))
+        blocks += [d for r, d in run.blocks([]) if r >= 0]
+        for p in range(9):
+            places.setdefault(" ".join(t.split()[p : p + 12]), []).append((i, p))
+    assert len(blocks) == 600
+    ids, code = suffixes.merge_range(blocks)
+    want = {(i, p << 2 | (suffixes.LEAD if (i, p) == x[0] else 0) | (suffixes.CROSS if x[0][0] < x[-1][0] else 0)) for x in places.values() if len(x) > 1 for i, p in x}
+    assert set(zip(ids.tolist(), code.tolist(), strict=True)) == want and len(ids) == len(want)
+    assert max(widths) <= 64
