@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -277,13 +277,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The tokens of each row of `docs` (doc_id, text): see SCHEMA; and after them the columns `keep`.
+def encode(docs: DataFrame, path: str = DEFAULT, keep: tuple[str, ...] = (), finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """The tokens of each row of `docs` (doc_id, text): see SCHEMA; and after them the columns `keep`, as `finish`, if given, returns them from the batches of a partition.
     Rows stay in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in finish(batches) if finish else batches:
             for part in W.slices(W.buffers(b.column(1))[1], 2 << 20):
                 rows = b.slice(part[0], part[1] - part[0])
                 got = c.encode_column(rows.column(1))

@@ -40,10 +40,11 @@ outside [0, 1], with two weights of a source at one position, or with more than
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +178,57 @@ def mix(docs: DataFrame, schedule: DataFrame | Iterable[tuple] | None = None, fl
     return ranged.select(*columns, "epoch", "position")
 
 
+def as_written(docs: DataFrame) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """The rows of `docs` (doc_id, text, others), a table of Parquet files that Spark wrote, in the order in which they were written, with `position`, and what
+    finishes the batches of a partition (with text and position): it turns `position`, the tokens before the row's file, into the part of all tokens up to the middle of the row's.
+    It runs in the function that uses the rows, as a function of its own would be a second Python process for each task.
+    Any other `docs` is written first. Files are as many as the partitions that wrote them; a few numbers of each go to the driver."""
+    spark = small_batches(docs).sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":  # only of files themselves are names and rows known
+        docs = materialized(docs, "in-order")
+    name = F.col("_metadata.file_name")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = sum(int(W.find_words(buf, off)[2][-1]) for _, _, buf, off in W.text_slices(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([words][: b.num_rows], pa.int64())], ["name", "n"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a batch may end one file and begin the next
+            names = b.column(0).dictionary_encode()
+            for k in range(len(names.dictionary)):
+                yield from count([b.filter(pc.equal(names.indices, k))])
+
+    number = lambda pattern: F.coalesce(F.regexp_extract("name", pattern, 1).try_cast("bigint"), F.lit(0))
+    sums = docs.select(name.alias("name"), "text").mapInArrow(pieces, "name string, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    files = sorted((r["part"], r["piece"], r["name"], r["n"]) for r in sums.select("name", "n", number(r"^part-(\d+)").alias("part"), number(r"-c(\d+)\.").alias("piece")).collect())
+    total, ahead, ranked = sum(f[3] for f in files), 0, []
+    for k, (_, _, file, words) in enumerate(files):
+        ranked.append((file, k, ahead))
+        ahead += words
+    ranked = F.broadcast(spark.createDataFrame(ranked, "__file string, __rank bigint, __ahead bigint"))
+
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = -1  # tokens before the row; the files of a partition follow each other
+        for b in batches:
+            if not b.num_rows:
+                continue
+            text, ahead = b.column("text"), b.column("position")
+            n = np.zeros(b.num_rows, np.int64)
+            for i, j, buf, off in W.text_slices(text):
+                n[i:j] = np.diff(W.find_words(buf, off)[2])
+            before = int(ahead[0].as_py()) if before < 0 else before
+            middle = before + np.cumsum(n) - n / 2
+            before += int(n.sum())
+            yield b.set_column(b.schema.get_field_index("position"), "position", pa.array(middle / max(1, total)))
+
+    n = max(1, min(len(files), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "position"]
+    rows = docs.select(*columns, name.alias("__name"), F.col("_metadata.row_index").alias("__row")).join(ranked, F.col("__name") == F.col("__file"))
+    rows = rows.repartitionById(n, F.floor(F.col("__rank") * n / F.lit(max(1, len(files)))).cast("int")).sortWithinPartitions("__rank", "__row")
+    return rows.select(*columns, F.col("__ahead").cast("double").alias("position")), place_rows
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """Each document once, with its columns alone, in the order of the curriculum."""
     return mix(docs, least_epochs=1.0, most_epochs=1.0).select(*[f"`{c}`" for c in docs.columns if c not in ("epoch", "position")])

@@ -52,3 +52,20 @@ def test_planted_documents(spark, tmp_path):
         t = t.replace("ann.lee@mail.com", "<EMAIL>") if r["doc_id"] in private else t
         assert r["token_ids"] == (None if t is None else tok.encode(t, add_special_tokens=False).ids), r["doc_id"]
     assert [r["position"] for r in out] == sorted(r["position"] for r in out)
+
+
+def test_order_of_the_mixing_stage(spark, tmp_path):
+    """What the mixing stage decides is what the last one keeps to, whatever it would have found itself."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 300, int(rng.integers(1, 60) if i % 5 else 900))), f"s{i % 3}") for i in range(200)]
+    write(spark, tmp_path, [*rows, (200, None, "s0"), (201, "", None)], [])
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    other = mixed.collect()[::-1]
+    spark.createDataFrame(other, mixed.schema).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "mixed.parquet"))
+    got = stages["bpe"](spark, spark.read.parquet(str(tmp_path / "mixed.parquet")), str(tmp_path)).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in other]
+    n = np.array([len((r["text"] or "").split()) for r in other])
+    assert np.allclose([r["position"] for r in got], (np.cumsum(n) - n / 2) / n.sum())
+    direct = stages["bpe"](spark, mixed, str(tmp_path)).collect()  # not read from files
+    assert [r["doc_id"] for r in direct] == [r["doc_id"] for r in other][::-1]
