@@ -12,13 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions.batches import once, small_batches
+
+
 def _casefold(c: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in c.to_pylist()], pa.string())
 
 
 def folded(c: Column) -> Column:
     """Text as it is compared: case-folded, which lower-casing is not (sharp s, final sigma)."""
-    return F.arrow_udf(_casefold, "string")(c)
+    return once(_casefold, "string")(c)
 
 
 def chunking_metrics(chunks: DataFrame, token_counter: Column | None = None) -> DataFrame:
@@ -34,20 +37,21 @@ def span_hits(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """(query_id, span_text, source_uri, hits): chunks of the span's source, or of any where that is empty, that hold the span,
     for each row of `spans`. Spans of a source meet the chunks of this source only. The others are joined on a word: a chunk that holds a span holds
     the words inside it as words, so one is enough, and that which the fewest spans have is taken; only what they share is compared as a whole. Spans
-    of fewer than three words are compared with all chunks; an empty one is in every chunk."""
-    c = chunks.select(F.col("source_uri").alias("uri"), folded(F.col("content_text")).alias("t"))
+    of fewer than three words are compared with all chunks; an empty one is in every chunk. What the spans give is broadcast (a corpus of them is a file that
+    the driver has read), and chunks never are: Spark takes texts that functions return for some bytes, and would send all of them through the driver."""
+    c = small_batches(chunks).select(F.col("source_uri").alias("uri"), folded(F.col("content_text")).alias("t"))
     s = spans.select("query_id", "span_text", F.coalesce("source_uri", F.lit("")).alias("source_uri"))
     s = s.withColumn("f", folded(F.col("span_text")))
     different = s.filter("f IS NOT NULL").select("f", "source_uri").distinct()
-    own = different.filter("source_uri <> ''").join(c, (F.col("source_uri") == F.col("uri")) & F.contains("t", "f")).select("f", "source_uri")
+    own = F.broadcast(different.filter("source_uri <> ''")).join(c, (F.col("source_uri") == F.col("uri")) & F.contains("t", "f")).select("f", "source_uri")
     words = lambda x: F.split(x, r"\s+")
     any_ = different.filter("source_uri = ''").select("f", words("f").alias("w"))
     long = any_.filter(F.size("w") > 2).select("f", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
     common = long.groupBy("word").agg(F.count("*").alias("spans"))
     chosen = long.join(common, "word").groupBy("f").agg(F.min(F.struct("spans", -F.length("word"), "word")).alias("x")).select("f", F.col("x.word").alias("word"))
     inside = c.select("t", F.explode(F.array_distinct(words("t"))).alias("word"))
-    met = chosen.join(inside, "word").filter(F.contains("t", "f")).select("f", F.lit("").alias("source_uri"))
-    short = any_.filter(F.size("w") <= 2).join(c, F.contains("t", "f")).select("f", F.lit("").alias("source_uri"))
+    met = F.broadcast(chosen).join(inside, "word").filter(F.contains("t", "f")).select("f", F.lit("").alias("source_uri"))
+    short = F.broadcast(any_.filter(F.size("w") <= 2)).join(c, F.contains("t", "f")).select("f", F.lit("").alias("source_uri"))
     hits = own.union(met).union(short).groupBy("f", "source_uri").agg(F.count("*").alias("hits"))
     return s.join(hits, ["f", "source_uri"], "left").select("query_id", "span_text", "source_uri", F.coalesce("hits", F.lit(0)).alias("hits"))
 
@@ -55,13 +59,13 @@ def span_hits(chunks: DataFrame, spans: DataFrame) -> DataFrame:
 def retrieval_metrics(chunks: DataFrame, spans: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Chunks are ranked by the spans they hold, so the first one hits as soon as any does; recall at
     every depth and the reciprocal rank are the share of queries with a hit. queries: (query_id) of all, also those without a span, which have no hit."""
-    h = span_hits(chunks, spans)
-    q = h.groupBy("query_id").agg(F.max((F.col("hits") > 0).cast("double")).alias("hit"))
+    q = span_hits(chunks, spans).groupBy("query_id").agg(F.count("*").alias("spans"), F.count_if(F.col("hits") > 0).alias("found")).withColumn("asked", F.lit(True))
     if queries is not None:
-        q = queries.select("query_id").distinct().join(q, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(0.0)).alias("hit"))
-    recall = F.coalesce(F.avg("hit"), F.lit(0.0))
-    a = q.agg(*[recall.alias(x) for x in ("recall_at_1", "recall_at_5", "recall_at_10", "mean_reciprocal_rank")])
-    return a.crossJoin(h.agg(F.coalesce(F.avg((F.col("hits") > 0).cast("double")), F.lit(0.0)).alias("citation_hit_rate")))
+        asked = queries.select("query_id").distinct().withColumn("asked", F.lit(True))
+        q = q.drop("asked").join(asked, "query_id", "full_outer")
+    recall = F.coalesce(F.avg(F.when(F.col("asked"), (F.coalesce("found", F.lit(0)) > 0).cast("double"))), F.lit(0.0))
+    rate = F.coalesce(F.try_divide(F.sum("found"), F.sum("spans")), F.lit(0.0))
+    return q.agg(*[recall.alias(x) for x in ("recall_at_1", "recall_at_5", "recall_at_10", "mean_reciprocal_rank")], rate.alias("citation_hit_rate"))
 
 
 # --- corpora of questions ------------------------------------------------------------------------

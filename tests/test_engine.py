@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomtext.functions import ids
 from loomtext.operators import chunks as C
-from loomtext.operators import diff, evaluation, export
+from loomtext.operators import diff, evaluation, export, parse
 from loomtext.plans import cli, registry
 from loomtext.plans.checkpoint import Checkpoint, fingerprint
 from loomtext.plans.config import ConfigError, Part, load
 from loomtext.plans.ingest import ingest
-from loomtext.sources.files import MARKDOWN_RULES, FileRules, LoadError, list_files, read_files
+from loomtext.sources.files import MARKDOWN_RULES, FileRules, LoadError, list_files, read_files, table_sources
 from loomtext.sources.store import Store, StoreError
 from loomtext.streaming.changes import ingest_stream, latest
 
@@ -269,3 +269,40 @@ def test_stream(spark, folder, tmp_path):
     assert store.stats()["documents"] == 3
     rows = spark.createDataFrame([("u", "zz", 1), ("u", "aa", 2), ("v", "x", None)], "source_uri string, checksum string, at int")
     assert {(r["source_uri"], r["checksum"]) for r in latest(rows, "at").collect()} == {("u", "aa"), ("v", "x")}
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_spans_are_broadcast_and_chunks_are_not(spark):
+    rows = spark.createDataFrame([(f"file:{i}", f"some words of text {i} that hold a passage", "plain") for i in range(20)], "source_uri string, content_text string, kind string").withColumn("heading_path", F.array())
+    asked = spark.createDataFrame([(1, "words of text 7 that", ""), (2, "passage", ""), (3, "hold a", "file:3")], "query_id int, span_text string, source_uri string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evaluation.span_hits(rows, asked)
+        assert {r["query_id"]: r["hits"] for r in found.collect()} == {1: 1, 2: 20, 3: 1}
+        p = plan(found)
+        assert "CartesianProduct" not in p and p.count("BuildLeft") == 3  # each join with chunks
+        m = evaluation.retrieval_metrics(rows, asked)
+        assert tuple(m.first()) == (1.0, 1.0, 1.0, 1.0, 1.0) and plan(m).count("BuildLeft") == 3  # the hits are found once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_go_through_python_in_small_batches_and_once(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    spark.createDataFrame([(i, "# a\n\ntext\n" * 200) for i in range(3000)], "i int, text string").write.parquet(str(tmp_path / "t"))
+    sources = table_sources(spark.read.parquet(str(tmp_path / "t")), "concat('file:', cast(i AS string))", "text", "text/markdown")
+    try:
+        docs = parse.documents(parse.parse(sources))
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+        assert plan(C.chunks(docs)).count("ArrowEvalPython [_parse") == 1  # not again for the filter on errors
+        spark.conf.unset(key)
+        C.sections(docs)
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+    finally:
+        spark.conf.unset(key)
