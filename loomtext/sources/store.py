@@ -28,6 +28,8 @@ RUNS = "run_id string, prefixes array<string>, timestamp string"
 SEEN = "run_id string, source_uri string"
 BUCKETS = 64
 LAYOUT = 2  #: 1 had one folder for a table
+FEW = 500_000  #: so many URIs are broadcast
+FOLDERS = 8  #: a bucket of more is written anew
 _KEYS = {"documents": "document_id", "sections": "section_id", "chunks": "chunk_id"}
 
 
@@ -153,9 +155,8 @@ class Store:
         """Writes rows by buckets; returns the folders of those that have any."""
         system, root = self._fs
         path = f"{name}/{uuid.uuid4().hex}"
-        rows = df.withColumn("bucket", self._bucket(n))
-        # a bucket's rows are spread over some tasks, so that a large bucket is not one task's
-        rows.repartition("bucket", F.pmod(F.xxhash64("source_uri", F.lit(1)), F.lit(8))).write.partitionBy("bucket").parquet(f"{self.where}/{path}")
+        # each task writes its part of each bucket: texts are not shuffled for it
+        df.withColumn("bucket", self._bucket(n)).write.partitionBy("bucket").parquet(f"{self.where}/{path}", compression="zstd")
         found = system.get_file_info(fs.FileSelector(f"{root}/{path}"))
         return {x.base_name.removeprefix("bucket="): [f"{path}/{x.base_name}"] for x in found if x.base_name.startswith("bucket=")}
 
@@ -189,26 +190,45 @@ class Store:
         bucket = self.spark.range(1).select(F.lit(uri).alias("source_uri")).select(self._bucket(now["buckets"])).first()[0]
         return self._load(now, name, [str(bucket)]).filter(F.col("source_uri") == uri)
 
-    def _replaced(self, now: dict, touched: DataFrame, fresh: dict[str, DataFrame], kept: dict[str, DataFrame] | None = None) -> dict:
-        """The changes of a version in which the rows of `touched` (source_uri) go and `fresh` ones come. Only their buckets are read and written.
-        kept: rows of touched sources that stay, for tables where not all go."""
-        n = now["buckets"]
-        buckets = sorted(str(r[0]) for r in touched.select(self._bucket(n).alias("b")).distinct().collect())  # at most n numbers
-        tables, schemas = dict(now["tables"]), dict(now["schemas"])
+    def _among(self, df: DataFrame, uris: DataFrame, how: str, n: int | None = None) -> DataFrame:
+        """The rows of `df` whose source is (left_semi) or is not (left_anti) one of `uris`. As long as these are few, they are sent to the rows, and not texts through a shuffle.
+        n: how many there are, where that is known."""
+        uris = uris.select("source_uri")
+        few = (uris.count() if n is None else n) <= FEW
+        return df.join(F.broadcast(uris) if few else uris, "source_uri", how)
+
+    def _replaced(self, now: dict, touched: DataFrame, fresh: dict[str, dict[str, list[str]]], schemas: dict[str, dict], kept: dict[str, DataFrame] | None = None) -> dict:
+        """The changes of a version in which the rows of `touched` (source_uri) go. Only buckets that hold such rows are read and written, as many at a time as have few of them.
+        fresh: the folders of rows that come, by table and bucket, and `schemas` of the tables with them; kept: rows of touched sources that stay, for tables where not all go."""
+        n, tables = now["buckets"], dict(now["tables"])
+        count = {str(r["b"]): r["count"] for r in touched.groupBy(self._bucket(n).alias("b")).count().collect()}  # at most n rows
         for name in TABLES:
-            old, new = self._load(now, name, buckets), fresh.get(name)
-            if old is None and new is None:
+            if name not in now["schemas"] and name not in fresh:
                 continue
-            rows = new
-            if old is not None:
-                rows = old.join(touched.select("source_uri"), "source_uri", "left_anti")
-                for extra in (kept or {}).get(name), new:
-                    rows = rows if extra is None else rows.unionByName(extra, allowMissingColumns=True)
-                rows = rows.select(*[F.col(c).cast(t) for c, t in old.dtypes], *[c for c in rows.columns if c not in old.columns])
-            made = self._write(name, rows, n)
-            tables[name] = {b: p for b, p in now["tables"].get(name, {}).items() if b not in buckets} | made
-            schemas[name] = rows.schema.jsonValue()
-        return {"tables": tables, "schemas": schemas}
+            table, more = dict(now["tables"].get(name, {})), fresh.get(name, {})
+            old = [b for b, p in table.items() if b in count or (b in more and len(p) >= FOLDERS)]
+            groups: list[list[str]] = []
+            for b in sorted(old, key=int):
+                if not groups or sum(count.get(x, 0) for x in [*groups[-1], b]) > FEW:
+                    groups.append([])
+                groups[-1].append(b)
+            for group in groups:
+                own = touched.filter(self._bucket(n).isin([int(b) for b in group]))
+                rows = self._among(self._load(now, name, group), own, "left_anti", sum(count.get(b, 0) for b in group))
+                if (extra := (kept or {}).get(name)) is not None:
+                    rows = rows.unionByName(extra.filter(self._bucket(n).isin([int(b) for b in group])))
+                made = self._write(name, rows, n)
+                table = {b: p for b, p in table.items() if b not in group} | made
+            tables[name] = table | {b: [*table.get(b, []), *p] for b, p in more.items()}
+        return {"tables": tables, "schemas": now["schemas"] | schemas}
+
+    def _fresh(self, now: dict, name: str, rows: DataFrame) -> tuple[dict[str, list[str]], dict]:
+        """Writes rows that come, in the types that the table has; returns their folders by bucket, and the table's schema."""
+        if name in now["schemas"]:
+            old = StructType.fromJson(now["schemas"][name])
+            known = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in old]
+            rows = rows.select(*known, *[c for c in rows.columns if c not in old.names])
+        return self._write(name, rows, now["buckets"]), rows.schema.jsonValue()
 
     # --- writing ---------------------------------------------------------------------------
 
@@ -220,7 +240,7 @@ class Store:
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """`df` written once and read again; `expire` removes it."""
         path = f"{self.where}/staged/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def upsert(self, new: Snapshot, run_id: str, timestamp: str, prefixes: tuple[str, ...] = (), prune: bool = False, seen: DataFrame | None = None) -> DataFrame:
@@ -228,30 +248,43 @@ class Store:
         seen: (source_uri) of all sources of the run, where `new` lacks those that are unchanged. A source that comes twice counts once, with its greatest checksum. Returns
         (source_uri, action), as it was decided before the write."""
         now = self._version()
-        once = new.documents.withColumn("__n", F.row_number().over(Window.partitionBy("source_uri").orderBy(F.desc("source_checksum")))).filter("__n = 1").drop("__n")
-        docs = self.staged(once, "documents")
+        found = self.staged(new.documents.select("source_uri", "source_checksum", "identity_version"), "found")
+        twice = not found.groupBy("source_uri").count().filter("count > 1").isEmpty()
+        docs, sections, chunks = new.documents, new.sections, new.chunks
+        if twice:
+            last = Window.partitionBy("source_uri").orderBy(F.desc("source_checksum"))
+            docs = self.staged(docs.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n"), "documents")
+            sections, chunks = (df.dropDuplicates([_KEYS[name]]) for name, df in (("sections", sections), ("chunks", chunks)))
+            found = docs.select(found.columns)
         stored = self._load(now, "documents")
-        actions = upsert_classes(docs.limit(0) if stored is None else stored, docs)
-        seen = docs.select("source_uri") if seen is None else seen.select("source_uri").distinct()
+        actions = upsert_classes(found.limit(0) if stored is None else stored, found)
+        seen = found.select("source_uri") if seen is None else seen.select("source_uri").distinct()
         if stored is not None:
-            rest = seen.join(docs.select("source_uri"), "source_uri", "left_anti").join(stored.select("source_uri"), "source_uri", "left_semi")
+            rest = seen.join(found.select("source_uri"), "source_uri", "left_anti").join(stored.select("source_uri"), "source_uri", "left_semi")
             actions = actions.union(rest.select("source_uri", F.lit("skipped")))
             if prune:
                 actions = actions.union(stale(stored.select("source_uri"), seen, prefixes).select("source_uri", F.lit("deleted")))
         actions = self.staged(actions, "actions")
+        count = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
         write = actions.filter(F.col("action").isin("inserted", "updated")).select("source_uri")
-        touched = actions.filter("action <> 'skipped'").select("source_uri")
         run = {"runs": self.spark.createDataFrame([(run_id, list(prefixes), timestamp)], RUNS), "seen": seen.select(F.lit(run_id).alias("run_id"), "source_uri")}
-        if touched.isEmpty():
+        if set(count) <= {"skipped"}:
             changes = {"tables": dict(now["tables"]), "schemas": dict(now["schemas"])}
         else:
-            fresh = {"documents": docs.join(write, "source_uri", "left_semi")}
-            for name, df in (("sections", new.sections), ("chunks", new.chunks)):
-                fresh[name] = self.staged(df.join(write, "source_uri", "left_semi").dropDuplicates([_KEYS[name]]), name)
+            written = count.get("inserted", 0) + count.get("updated", 0)
+            rows = {name: df.filter("source_uri IS NOT NULL") for name, df in (("documents", docs), ("sections", sections), ("chunks", chunks))}
+            if found.count() > written:  # some of them are stored as they are
+                rows = {name: self._among(df, write, "left_semi", written) for name, df in rows.items()}
+            fresh, schemas = {}, {}
+            for name, df in rows.items():
+                fresh[name], schemas[name] = self._fresh(now, name, df)
             old = self._load(now, "revisions")
-            fresh["revisions"] = revision_rows(Snapshot(fresh["documents"], fresh["sections"], fresh["chunks"]), old, run_id, timestamp)
-            kept = {} if old is None else {"revisions": old.join(write, "source_uri", "left_semi").withColumn("is_current", F.lit(False))}
-            changes = self._replaced(now, touched, fresh, kept)
+            came = Snapshot(*[self._load({"tables": fresh, "schemas": schemas}, name) for name in rows])
+            fresh["revisions"], schemas["revisions"] = self._fresh(now, "revisions", revision_rows(came, old, run_id, timestamp))
+            kept = {} if old is None else {"revisions": self._among(old, write, "left_semi", written).withColumn("is_current", F.lit(False)).select(old.columns)}
+            gone = actions.filter("action <> 'skipped'").select("source_uri")
+            gone = gone.limit(0) if stored is None else self.staged(gone.join(stored.select("source_uri"), "source_uri", "left_semi"), "gone")
+            changes = self._replaced(now, gone, fresh, schemas, kept)
         for name, df in run.items():
             changes["tables"][name] = {"0": [*now["tables"].get(name, {}).get("0", []), self._append(name, df)]}
             changes["schemas"][name] = df.schema.jsonValue()
@@ -285,7 +318,7 @@ class Store:
         uris = docs.filter(which) if isinstance(which, Column) else docs.join(which.select("source_uri"), "source_uri", "left_semi")
         counts = self.counts_of(uris)
         if not dry_run and any(counts.values()):
-            self._commit(now, self._replaced(now, self.staged(uris, "deleted"), {}))
+            self._commit(now, self._replaced(now, self.staged(uris, "deleted"), {}, {}))
         return counts
 
     def delete_prefix(self, prefix: str, dry_run: bool = False) -> dict[str, int]:

@@ -306,3 +306,28 @@ def test_texts_go_through_python_in_small_batches_and_once(spark, tmp_path):
         assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
     finally:
         spark.conf.unset(key)
+
+
+def test_store_shuffles_no_texts(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), 4)
+    rows = lambda ids, mark: table_sources(spark.createDataFrame([(i, f"text {i} {mark if i % 3 == 0 else ''}") for i in ids], "i int, text string"), "concat('file:', cast(i AS string), '.txt')", "text")
+    wrote = []
+    write = Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, name, df, n: (wrote.append((name, df._jdf.queryExecution().executedPlan().toString())), write(self, name, df, n))[1])
+    ingest(rows(range(40), "old"), store=store)
+    ingest(rows(range(5, 50), "new"), store=store, prefixes=("file:",), prune=True)
+    assert {n for n, _ in wrote} == {"documents", "sections", "chunks", "revisions"} and len(wrote) == 12
+    for name, p in wrote:
+        assert name == "revisions" or ("Exchange hashpartitioning" not in p and "Window" not in p), name
+    docs = {r["source_uri"]: r for r in store.with_children(store.table("documents")).collect()}
+    assert set(docs) == {f"file:{i}.txt" for i in range(5, 50)}
+    assert all(len(d["sections"]) == len(d["chunks"]) == 1 and d["chunks"][0]["content_text"] == d["body"].strip() and ("new" in d["body"]) == (int(u[5:-4]) % 3 == 0) for u, d in docs.items())
+    r = {(x["source_uri"], x["revision_number"]): x["is_current"] for x in store.table("revisions").collect()}
+    assert r == {(f"file:{i}.txt", 1): i % 3 != 0 or i >= 40 for i in range(5, 50)} | {(f"file:{i}.txt", 2): True for i in range(5, 40) if i % 3 == 0}
+    monkeypatch.setattr("loomtext.sources.store.FEW", 3)  # groups of buckets, and more in one bucket than are broadcast
+    ingest(rows(range(5, 50), "newer"), store=store)
+    monkeypatch.setattr("loomtext.sources.store.FOLDERS", 2)
+    ingest(rows(range(50, 70), "newer"), store=store, prefixes=("file:",))
+    assert store.stats() == {"documents": 65, "sections": 65, "chunks": 65} and store.table("chunks").filter("content_text LIKE '%newer%'").count() == sum(i % 3 == 0 for i in range(5, 70))
+    assert max(map(len, store._version()["tables"]["chunks"].values())) == 2 and store.table("revisions").filter("is_current").count() == 65
+    assert store.expire(1) > 0 and store.stats()["chunks"] == 65
