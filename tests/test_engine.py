@@ -1,5 +1,6 @@
 import hashlib
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,3 +332,23 @@ def test_store_shuffles_no_texts(spark, tmp_path, monkeypatch):
     assert store.stats() == {"documents": 65, "sections": 65, "chunks": 65} and store.table("chunks").filter("content_text LIKE '%newer%'").count() == sum(i % 3 == 0 for i in range(5, 70))
     assert max(map(len, store._version()["tables"]["chunks"].values())) == 2 and store.table("revisions").filter("is_current").count() == 65
     assert store.expire(1) > 0 and store.stats()["chunks"] == 65
+
+
+def test_listing_resolves_folders_and_links_but_not_each_file(tmp_path, monkeypatch):
+    root = tmp_path / "real"
+    for i in range(300):
+        to = root / f"d{i % 3}" / (".h" if i % 50 == 0 else "s") / f"{i}.{'md' if i % 2 else 'log'}"
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_text("x")
+    (root / "link.md").symlink_to(root / "d0/s/3.md")
+    (root / "folder").symlink_to(root / "d1")
+    (root / "broken.md").symlink_to(root / "none")
+    (tmp_path / "way").symlink_to(root)
+    calls = []
+    resolve = Path.resolve
+    monkeypatch.setattr(Path, "resolve", lambda self, strict=False: (calls.append(1), resolve(self, strict))[1])
+    got = list_files(tmp_path / "way")
+    assert len(calls) < 10
+    want = sorted(f"d{i % 3}/s/{i}.md" for i in range(1, 300, 2))
+    assert sorted(u.removeprefix("file:") for _, u in got) == sorted([*want, "d0/s/3.md"]) and all(p == f"{resolve(root)}/{u.removeprefix('file:')}" for p, u in got) and got == sorted(got)
+    assert len(list_files(root, FileRules(exclude=("d0/**/*",), symlinks="skip"))) == sum(not w.startswith("d0") for w in want)
